@@ -38,7 +38,7 @@ URL_RULES = (
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by rules, and by the language-model ratio where none fits."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mean_ratio")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("mean_ratio", 6).alias("mean_ratio"))
 
 
 def _learnable(doc_id: F.Column) -> F.Column:

@@ -19,6 +19,8 @@ identifier or endpoint needs a secret or an opaque run in scope.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ HEX = r"[0-9a-f]{32,}"
 
 IDENT = r"""(?i:user_?name|user_?id|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?"
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
+#: An opaque run has one of each.
+OPAQUE_HAS = ("[A-Z]", "[a-z]", "[0-9]")
 #: Code points between two parts that belong together.
 SCOPE = 200
 
@@ -41,8 +45,11 @@ KINDS = ("assign", "access", "hex", "ident", "endpoint", "opaque")
 _SPAN = "struct<start:int,rank:int,end:int>"
 
 
-def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches; those whose ``group`` is shorter than ``least`` are dropped afterwards.
+def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0, has: tuple[str, ...] = ()) -> Column:
+    """Spans of the leftmost non-overlapping matches.
+
+    Those whose ``group`` is shorter than ``least``, or lacks one of ``has``,
+    are dropped afterwards.
 
     Matches and the pieces between them alternate, so running lengths are the
     positions.
@@ -50,10 +57,14 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.split(text, pattern, -1)
+
+    def keep(m: Column) -> Column:
+        return reduce(lambda a, p: a & m.rlike(p), has, F.length(m) >= least)
+
     steps = F.zip_with(
         F.transform(F.slice(pieces, 1, F.size(whole)), F.length),
-        F.zip_with(F.transform(whole, F.length), F.transform(judged, F.length), lambda n, m: F.struct(n.alias("n"), m.alias("judged"))),
-        lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["judged"].alias("judged")),
+        F.zip_with(F.transform(whole, F.length), F.transform(judged, keep), lambda n, m: F.struct(n.alias("n"), m.alias("keep"))),
+        lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["keep"].alias("keep")),
     )
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
 
@@ -61,7 +72,7 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
         begin = acc["at"] + x["gap"]
         end = begin + x["n"]
         one = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["judged"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
@@ -88,7 +99,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", scop
         "hex": _spans(body, HEX, "hex"),
         "ident": _spans(body, IDENT, "ident"),
         "endpoint": _spans(body, ENDPOINT, "endpoint"),
-        "opaque": _spans(body, OPAQUE, "opaque"),
+        "opaque": _spans(body, OPAQUE, "opaque", has=OPAQUE_HAS),
     }
     names = {k: f"_secret_{k}" for k in parts}
     held = docs.drop(out).withColumns({names[k]: v for k, v in parts.items()})
