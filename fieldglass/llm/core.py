@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Java/Python regex of one word and of one separator run.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Regex of one run of separators.
 GAP = r"[\x20\x09-\x0D]+"
 
 _own_scratch: str | None = None
@@ -62,6 +61,17 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def lowest_hashed(rows: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """The k of n rows whose ``key`` hashes lowest.
+
+    A threshold first leaves about 2 k rows, so few reach the driver however
+    many tasks there are; the order then takes exactly k.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    few = rows if n <= 2 * k else rows.where(at < int((1 << 30) * 2 * k / n) + 1)
+    return few.orderBy(at, key).limit(k)
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast ``value`` with its code; tasks read it with :func:`shared`."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import share, shared
+from .core import lowest_hashed, share, shared
 
 #: Bound of the labelled sample that training takes, for each label.
-SAMPLE_PER_LABEL = 2_500
+SAMPLE_PER_LABEL = 1_500
 #: A sentence is cut after so many words where no full stop or line end comes first.
 SENTENCE_WORDS = 64
 #: A feature is kept when it marks the toxic documents of the sample more often than chance would, at this level.
-LEVEL = 1e-4
+LEVEL = 1e-3
 
 _WORD = re.compile(r"[^\W_]+|[.!?\n]+")
 _RUN, _STOP = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]+")
@@ -133,18 +133,20 @@ class BagScorer:
 
 def fit(texts: list[str | None], labels: list[int], prior: float = 0.5, epochs: int = 150, rate: float = 0.1, decay: float = 2e-5) -> ToxicityModel:
     """Train on bags by full-batch Adam on the noisy-or likelihood; ``prior`` is the share of toxic documents outside the sample."""
-    bags = [[set(f for w in set(words) for f in _features(w)) for _, _, words in sentences(t)] for t in texts]
-    seen: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels, strict=True):
-        for f in set().union(*bag):
-            seen.setdefault(f, [0, 0])[label > 0] += 1
+    seen: dict[str, int] = {}  # documents with a feature: clean ones, and toxic ones times 2^32
+    for text, label in zip(texts, labels, strict=True):
+        words = {w for _, _, ws in sentences(text) for w in ws}
+        one = 1 << 32 if label > 0 else 1
+        for f in {f for w in words for f in _features(w)}:
+            seen[f] = seen.get(f, 0) + one
     rate_of_toxic = sum(y > 0 for y in labels) / len(labels)
-    telling = (f for f, (clean, toxic) in seen.items() if toxic > 2 and log_tail(toxic, clean + toxic, rate_of_toxic) < math.log(LEVEL))
-    index = {f: i for i, f in enumerate(sorted(telling))}
+    counts = ((f, n >> 32, n & 0xFFFFFFFF) for f, n in seen.items() if n >> 32 > 2)
+    index = {f: i for i, f in enumerate(sorted(f for f, toxic, clean in counts if log_tail(toxic, clean + toxic, rate_of_toxic) < math.log(LEVEL)))}
+    del seen
     rows, cols, doc_of = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            ids = [index[f] for f in sentence if f in index]
+    for d, text in enumerate(texts):
+        for _, _, words in sentences(text):
+            ids = [index[f] for f in {f for w in set(words) for f in _features(w)} if f in index]
             if not ids:
                 continue
             cols += ids
@@ -187,10 +189,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     if usable is not None:
         known = known.where(usable)
     toxic, n = known.agg(F.sum((F.col("_label") == 1).cast("double")), F.count(F.lit(1))).first()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("_label") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
+    if not toxic or toxic == n:
+        return ToxicityModel({}, -4.0, -4.0)
+    chosen = [lowest_hashed(known.where(F.col("_label") == y), "doc_id", per_label, size) for y, size in ((0, n - int(toxic)), (1, int(toxic)))]
     ids = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_label").collect()
+    # at most 2 * per_label ids; a repeated one gives one row
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "_label").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     if len({r._label for r in rows}) < 2:
         return ToxicityModel({}, -4.0, -4.0)
