@@ -35,7 +35,7 @@ def bin_integer(v: Column, lo: int, hi: int, bins: int) -> Column:
     """
     kind = "long" if (hi - lo) * bins < 2**63 and -(2**63) <= lo and hi < 2**63 else "decimal(38,0)"
     if hi == lo:
-        return F.when(v == F.lit(lo).cast(kind), F.lit(0))
+        return F.when(v == _int(lo, kind), F.lit(0))
     at = _div((v.cast(kind) - _int(lo, kind)) * _int(bins, kind), _int(hi - lo, kind))
     return F.when((v >= _int(lo, kind)) & (v <= _int(hi, kind)), F.least(at.cast("int"), F.lit(bins - 1)))
 

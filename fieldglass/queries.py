@@ -517,7 +517,6 @@ def evidence_document(spark, d):
 
 # -- reveal --------------------------------------------------------------------------------
 
-_M64 = "18446744073709551615::UHUGEINT"
 _MOD = "18446744073709551616::UHUGEINT"
 _MIXED = f"h0 AS (SELECT event_id, user_id, value, (event_id::UHUGEINT + 11400714819323198485::UHUGEINT) % {_MOD} z FROM events WHERE user_id BETWEEN 10 AND 400 AND value BETWEEN 5 AND 200), h1 AS (SELECT * REPLACE (((xor(z, z // 1073741824)) * 13787848793156543929::UHUGEINT) % {_MOD} AS z) FROM h0), h2 AS (SELECT * REPLACE (((xor(z, z // 134217728)) * 10723151780598845931::UHUGEINT) % {_MOD} AS z) FROM h1), h3 AS (SELECT * REPLACE (xor(z, z // 2147483648) AS z) FROM h2)"
 
