@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published constants of SplitMix64.
@@ -39,18 +39,21 @@ def _join(limbs: list[Column]) -> Column:
 
 def wrap_add(x: Column, constant: int) -> Column:
     """x + constant modulo 2^64."""
-    return _let(x, lambda v: _join([a + ((constant >> (16 * i)) & 0xFFFF) for i, a in enumerate(_limbs(v))]))
+    return _let(x, lambda v: _sum(v, constant))
+
+
+def _sum(v: Column, constant: int) -> Column:
+    return _join([a + ((constant >> (16 * i)) & 0xFFFF) for i, a in enumerate(_limbs(v))])
 
 
 def wrap_mul(x: Column, constant: int) -> Column:
     """x * constant modulo 2^64."""
-    b = [(constant >> (16 * i)) & 0xFFFF for i in range(4)]
+    return _let(x, lambda v: _product(v, constant))
 
-    def product(v: Column) -> Column:
-        a = _limbs(v)
-        return _join([reduce(lambda p, q: p + q, [a[j] * F.lit(b[i - j]).cast("long") for j in range(i + 1)]) for i in range(4)])
 
-    return _let(x, product)
+def _product(v: Column, constant: int) -> Column:
+    a, b = _limbs(v), [(constant >> (16 * i)) & 0xFFFF for i in range(4)]
+    return _join([reduce(lambda p, q: p + q, [a[j] * F.lit(b[i - j]).cast("long") for j in range(i + 1)]) for i in range(4)])
 
 
 def _xor_shift(x: Column, n: int) -> Column:
@@ -79,6 +82,34 @@ def draw(seed: int, index: Column) -> Column:
     return splitmix64(wrap_add(wrap_mul(index.cast("long") + 1, GAMMA), seed & MASK))
 
 
+def with_splitmix64(df: DataFrame, states: dict[str, Column]) -> DataFrame:
+    """Add SplitMix64 outputs of several states, step by step as columns, so that each step is compiled code over plain columns.
+
+    The Column forms above bind their steps in lambdas, which Spark interprets;
+    use this form for many rows.
+    """
+    out = df.withColumns(states)
+    names = list(states)
+    shift = lambda n, by: F.col(n).bitwiseXOR(F.shiftrightunsigned(n, by))
+    for by, factor in ((30, MIX[0]), (27, MIX[1])):
+        out = out.withColumns({n: shift(n, by) for n in names})
+        out = out.withColumns({n: _product(F.col(n), factor) for n in names})
+    return out.withColumns({n: shift(n, 31) for n in names})
+
+
+def with_draws(df: DataFrame, seed: int, indices: dict[str, Column]) -> DataFrame:
+    """Add generator outputs by their numbers, as :func:`draw` does."""
+    out = df.withColumns({n: i.cast("long") + 1 for n, i in indices.items()})
+    out = out.withColumns({n: _product(F.col(n), GAMMA) for n in indices})
+    return with_splitmix64(out, {n: _sum(F.col(n), seed & MASK) for n in indices})
+
+
+def with_priority(df: DataFrame, row_id: str, name: str) -> DataFrame:
+    """Add :func:`stable_priority` of a row id, in an order that sorts as the unsigned value."""
+    out = with_splitmix64(df, {name: _sum(F.col(row_id).cast("long"), GAMMA)})
+    return out.withColumn(name, unsigned_order(F.col(name)))
+
+
 def unit_float(x: Column) -> Column:
     """The top 24 bits as a 32-bit float in [0, 1)."""
     return (F.shiftrightunsigned(x, 40).cast("float") / F.lit(float(1 << 24)).cast("float")).cast("float")
@@ -87,10 +118,7 @@ def unit_float(x: Column) -> Column:
 def below(x: Column, n: int) -> Column:
     """Unsigned x modulo n, for n under 2^31: taken limb by limb from the top."""
 
-    def fold(v: Column) -> Column:
-        rest = F.lit(0).cast("long")
-        for limb in reversed(_limbs(v)):
-            rest = (rest * F.lit(1 << 16).cast("long") + limb) % F.lit(n).cast("long")
-        return rest
-
-    return _let(x, fold)
+    rest = F.lit(0).cast("long")
+    for limb in reversed(_limbs(x)):
+        rest = (rest * F.lit(1 << 16).cast("long") + limb) % F.lit(n).cast("long")
+    return rest

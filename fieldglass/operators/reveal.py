@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_priority, unsigned_order
+from ..functions.hashing import with_priority
 from .filters import in_box
 
 MAX_POINTS = 20_000
@@ -21,7 +21,7 @@ def reveal_plan(df: DataFrame, x: Column, y: Column, box: Sequence[float], row_i
     """
     eligible = df.where(in_box(x, y, box) & (F.lit(True) if included is None else included))
     points = eligible.select(F.col(row_id).cast("long").alias("row_id"), x.alias("px"), y.alias("py"))
-    return points.withColumn("_p", unsigned_order(stable_priority(F.col("row_id")))).orderBy("_p", "row_id").limit(most).drop("_p")
+    return with_priority(points, "row_id", "_p").orderBy("_p", "row_id").limit(most).drop("_p")
 
 
 def reveal_blend(rows_per_pixel: float, fully_below: float, hidden_above: float) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import below, draw, unit_float
+from ..functions.hashing import below, unit_float, with_draws
 
 # Fixed values of the point pattern.
 CLUSTER_CENTER, CLUSTER_SPREAD = (28.0, 72.0), 10.0
@@ -32,8 +32,7 @@ def synthetic_points(spark: SparkSession, rows: int, seed: int = 42, x: tuple[fl
     # a cluster row takes six draws, a background row two, an outlier three
     first = F.when(i < cluster, i * 6).when(i < cluster + background, F.lit(6 * cluster) + (i - cluster) * 2).otherwise(F.lit(6 * cluster + 2 * background) + (i - cluster - background) * 3)
     df = spark.range(rows).withColumnRenamed("id", "row_id").withColumn("_at", first.cast("long"))
-    raw = [draw(seed, F.col("_at") + k) for k in range(6)]
-    df = df.withColumns({f"_d{k}": d for k, d in enumerate(raw)})
+    df = with_draws(df, seed, {f"_d{k}": F.col("_at") + k for k in range(6)})
     u = [unit_float(F.col(f"_d{k}")) for k in range(6)]
 
     def clustered(a: int, center: float, lo: float, hi: float) -> Column:
@@ -72,7 +71,7 @@ def synthetic_events(spark: SparkSession, rows: int, seed: int = 42, time: tuple
     # background rows take four draws, spikes three, stale rows two, the rest three
     first = F.when(i < starts[1], i * 4).when(i < starts[2], F.lit(4 * background) + (i - starts[1]) * 3).when(i < starts[3], F.lit(4 * background + 3 * spike) + (i - starts[2]) * 2).otherwise(F.lit(4 * background + 3 * spike + 2 * stale) + (i - starts[3]) * 3)
     df = spark.range(rows).withColumnRenamed("id", "row_id").withColumn("_at", first.cast("long"))
-    df = df.withColumns({f"_d{k}": draw(seed, F.col("_at") + k) for k in range(4)})
+    df = with_draws(df, seed, {f"_d{k}": F.col("_at") + k for k in range(4)})
     d = [F.col(f"_d{k}") for k in range(4)]
     within = lambda k, a, b: below(d[k], b - a + 1) + F.lit(a).cast("long")
     early, late = (lo, min(GAP[0] - 1, hi)), (max(GAP[1] + 1, lo), hi)
