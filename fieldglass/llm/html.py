@@ -8,7 +8,7 @@ walks the tree, leaves out what is not shown, and lays out the rest.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pandas as pd
@@ -18,7 +18,15 @@ from pyspark.sql import functions as F
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video map select datalist meta link title noembed noframes param".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist meta link title noembed noframes param".split())
+#: Inside svg and math: what is not drawn, and the elements that end them.
+FOREIGN_HIDDEN = frozenset("desc metadata defs symbol clippath mask pattern marker filter annotation annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split()
+)
+#: A foreign element whose content is HTML again.
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+IN_HEAD = frozenset("title meta link script style base noscript template basefont bgsound noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption".split()
 )
@@ -40,17 +48,19 @@ IMPLIED = {
 #: An element's end tag does not reach beyond these.
 SCOPE = frozenset({"table", "td", "th", "html", "body"})
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A quote opens a value only right after the equals sign; one that is never closed is part of a bare value.
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s>]*))"""
+_ATTR = re.compile(rf"""([^\s/>][^\s/>=]*)(?:\s*=\s*{_VALUE})?""")
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|(?>[^\s/>][^\s/>=]*(?:\s*=\s*(?>"[^"]*"|'[^']*'|[^\s>]*))?))*+)(?:>|\Z)""", re.S)
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False) -> None:
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -74,19 +84,29 @@ def build_tree(html: str) -> Node:
                 if not tags & {"tr", "thead"}:
                     return
 
+    begun = False  # the head is over, or cannot come any more
+
+    def text(s: str) -> None:
+        nonlocal begun
+        if stack[-1].tag in ("head", "html") and not begun and not s.isspace():
+            begun = True
+            del stack[1:]
+        stack[-1].children.append(unescape(s))
+
     pos, size = 0, len(html)
     while pos < size:
         m = _TOKEN.search(html, pos)
         if m is None:
-            stack[-1].children.append(unescape(html[pos:]))
+            text(html[pos:])
             break
         if m.start() > pos:
-            stack[-1].children.append(unescape(html[pos : m.start()]))
+            text(html[pos : m.start()])
         pos = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
+            begun = begun or tag == "head"
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -98,22 +118,34 @@ def build_tree(html: str) -> Node:
             continue
         if tag in ("html", "body"):
             stack[0].attrs = {**_attributes(m[3]), **stack[0].attrs}
+            if tag == "body":
+                begun = True
+                if stack[-1].tag == "head":
+                    stack.pop()
+            continue
+        if tag == "head" and (begun or stack[-1].tag == "head"):
             continue
+        if stack[-1].foreign and tag in BREAKOUT:
+            while stack[-1].foreign:
+                stack.pop()
         if tag in CLOSES_P:
             cut({"p"}, SCOPE | {"button"})
         if tag in IMPLIED:
             cut(*IMPLIED[tag])
-        if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
-        node = Node(tag, _attributes(m[3]) if m[3] else {})
+        if stack[-1] is root and tag != "head" and tag not in IN_HEAD:
+            begun = True
+        within = stack[-1].foreign and stack[-1].tag not in HTML_INSIDE
+        node = Node(tag, _attributes(m[3]) if m[3] else {}, within or tag in ("svg", "math"))
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or m[3].endswith("/") and node.foreign:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, pos)
             body = html[pos : end.start()] if end else html[pos:]
-            if tag in ("textarea", "title"):
-                node.children.append(unescape(body))
+            if tag in ("textarea", "title", "xmp"):
+                node.children.append(body if tag == "xmp" else unescape(body))
             pos = end.end() if end else size
             continue
         stack.append(node)
@@ -122,7 +154,7 @@ def build_tree(html: str) -> Node:
 
 def is_hidden(node: Node) -> bool:
     a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or (node.tag == "input") or (node.tag == "dialog" and "open" not in a) or bool("style" in a and _HIDES.search(a["style"]))
+    return node.tag in HIDDEN or node.foreign and node.tag in FOREIGN_HIDDEN or "hidden" in a or (node.tag == "input") or (node.tag == "dialog" and "open" not in a) or bool("style" in a and _HIDES.search(a["style"]))
 
 
 class _Lines:
@@ -160,8 +192,46 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"[0-9]{1,6}", text) else default
 
 
-def _walk(root: Node, out: _Lines) -> None:
-    """Depth-first with an explicit stack, so deep nesting is no limit."""
+def _shown_options(select: Node) -> list[str]:
+    """What a select shows when closed: the last selected option, else the first that is not disabled; a list box shows all."""
+    shown: list[tuple[bool, bool, str]] = []
+    work = list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, str) or is_hidden(node):
+            continue
+        if node.tag != "option":
+            work.extend(reversed(node.children))
+            continue
+        parts, inner = [], list(reversed(node.children))
+        while inner:
+            x = inner.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            elif not is_hidden(x):
+                inner.extend(reversed(x.children))
+        shown.append(("selected" in node.attrs, "disabled" in node.attrs, node.attrs.get("label") or "".join(parts)))
+    if "multiple" in select.attrs or _number(select.attrs.get("size"), 1) > 1:
+        return [t for *_, t in shown]
+    chosen = [t for on, _, t in shown if on][-1:] or [t for _, off, t in shown if not off][:1]
+    return chosen
+
+
+def _run(task: Generator) -> list[str]:
+    """The result of ``task``; generators it yields are run first, on a stack of their own, and their results sent back."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _walk(root: Node, out: _Lines) -> Generator:
+    """Depth-first with an explicit stack, so deep nesting is no limit; tables are yielded."""
     work: list[tuple[str, object]] = [("open", root)]
     lists: list[list] = []
     while work:
@@ -202,12 +272,16 @@ def _walk(root: Node, out: _Lines) -> None:
             continue
         if tag == "table":
             out.space()
-            for line in render_table(node):
+            for line in (yield _table(node)):
                 out.raw(line)
             out.gap = 1
             continue
+        if tag == "select":
+            for option in _shown_options(node):
+                out.text(f" {option} ")
+            continue
         saved = None
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "text" and node.foreign:
             out.end_line()
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 out.gap = 1
@@ -225,18 +299,23 @@ def _walk(root: Node, out: _Lines) -> None:
                 saved = out.prefix
                 out.prefix = saved + "  "
             work.append(("close", (tag, saved)))
-        inner = "pre" if what == "pre" or tag in ("pre", "textarea") else "open"
+        inner = "pre" if what == "pre" or tag in ("pre", "textarea", "xmp") else "open"
         work.extend((inner, c) for c in reversed(node.children))
 
 
-def _lines(node: Node) -> list[str]:
+def _lines(node: Node) -> Generator:
     out = _Lines()
-    _walk(node, out)
+    yield from _walk(node, out)
     out.end_line()
     return out.done
 
 
 def render_table(table: Node) -> list[str]:
+    """The lines of a table, as :func:`_table` lays them out."""
+    return _run(_table(table))
+
+
+def _table(table: Node) -> Generator:
     """A caption, then rows of cells padded to their columns' widths and parted by `` | ``; a cell over several columns is followed by empty ones."""
     lines: list[str] = []
     rows: list[list[str]] = []
@@ -264,7 +343,7 @@ def render_table(table: Node) -> list[str]:
                     continue
                 if is_hidden(cell):
                     continue
-                text = " ".join(x.strip() for x in _lines(Node("div", {}) if cell.tag in VOID else _as_div(cell)) if x.strip())
+                text = " ".join(x.strip() for x in (yield _lines(_as_div(cell))) if x.strip())
                 span, down = min(_number(cell.attrs.get("colspan"), 1) or 1, 1000), min(_number(cell.attrs.get("rowspan"), 1) or 1, 1000)
                 for i in range(span):
                     if down > 1:
@@ -272,7 +351,7 @@ def render_table(table: Node) -> list[str]:
                     row.append(text if i == 0 else "")
             rows.append(row)
         else:
-            lines += [x for x in _lines(node)]
+            lines += yield _lines(node)
     rows = [r for r in rows if any(r)]
     widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
     for r in rows:
@@ -281,8 +360,9 @@ def render_table(table: Node) -> list[str]:
 
 
 def _as_div(cell: Node) -> Node:
-    div = Node("div", cell.attrs)
-    div.children = cell.children
+    plain = cell.tag in ("td", "th")
+    div = Node("div", cell.attrs if plain else {})
+    div.children = cell.children if plain else [cell]
     return div
 
 
@@ -290,7 +370,7 @@ def render(html: str | None) -> str:
     """The visible text of a page; null and empty pages give an empty text."""
     if not html:
         return ""
-    return "\n".join(x.rstrip() for x in _lines(build_tree(html))).strip("\n")
+    return "\n".join(x.rstrip() for x in _run(_lines(build_tree(html)))).strip("\n")
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

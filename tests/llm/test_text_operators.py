@@ -169,6 +169,35 @@ def test_deep_and_long_pages():
     assert html.render("<p>w</p>" * 20_000).count("w") == 20_000
 
 
+ALL_VISIBLE = [
+    ("<head><title>t</title><body>Intro text <b>x</b>", "Intro text x"),
+    ("<head><title>t</title>Intro text", "Intro text"),
+    ("<head><script>a</script><body><script>b</script>Intro<style>c</style> more", "Intro more"),
+    ("<body>x<head>y</head>z", "xyz"),
+    ("<p title=don't>Hello</p> it's <b>here</b>", "Hello\n\nit's here"),
+    ("<p title=\"open>Hello</p> x", "Hello\n\nx"),
+    ("<p a=\"x>y\" b='c>d'>in</p>", "in"),
+    ("<!-->a<!-- b -->c<!-- d --!>e", "ace"),
+    ("<svg><defs><text>no</text></defs><rect/><text>A</text><desc/><text>B</text></svg>after", "A\nB\nafter"),
+    ("<svg><g><p>out", "out"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <map><area>m</map>", "x=2 m"),
+    ("a<select><option>one<option selected>two</select>b <select><option>c<option>d</select>", "a two b c"),
+    ("<select multiple><option>one<option>two</select>", "one two"),
+    ("<xmp><b>raw</b></xmp>", "<b>raw</b>"),
+    ("<table><tr><td>a<table><tr><td>i<td>j</table></table>", "a i | j"),
+]
+
+
+@pytest.mark.parametrize("page,text", ALL_VISIBLE)
+def test_no_visible_text_is_missing(page, text):
+    assert html.render(page) == text
+
+
+def test_nested_tables_and_odd_tags_are_no_limit():
+    assert html.render("<table><tr><td>" * 5_000 + "x") == "x"
+    assert html.render("<p a='" * 5_000) == "" and html.render("<p " + "a   =  " * 50_000 + ">x") == "x"
+
+
 def test_extraction_keeps_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert sorted(r.text for r in html.extract_text(df).collect()) == ["", "a", "a"]
