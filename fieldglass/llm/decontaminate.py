@@ -2,7 +2,9 @@
 
 A seed is a mask over consecutive tokens; positions under a 0 do not enter its
 hash, so a passage whose words were changed there still meets the benchmark's
-hash.  A document's seed hashes are joined with the benchmark's, and every hit
+hash.  The masks are chosen by enumeration: whatever tokens of a run were
+changed, up to what ``SHARE`` allows, some mask at some place avoids them all,
+so no run is missed.  A document's seed hashes are joined with the benchmark's, and every hit
 is verified: along its diagonal, some run of ``RUN`` aligned tokens (the whole
 item, if shorter) must agree in at least ``SHARE`` of them.
 
@@ -25,8 +27,20 @@ from pyspark.sql import functions as F
 
 from .core import WordHasher, mix64, share, shared
 
-MASKS = ("111101111", "1101101011", "1011100111")
 RUN = 13
+#: For items of at least RUN tokens: every choice of two changed tokens among 13 leaves a place for one of these.
+MASKS = ("11101011", "11001111")
+#: The same for shorter items, by their length; under 5 tokens all must agree.
+SHORT_MASKS = {
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("11111", "111011"),
+    9: ("1111011", "1101111"),
+    10: ("11111", "111011", "11010011"),
+    11: ("1101011", "1110011"),
+    12: ("111111", "11101011", "101100111"),
+}
 SHARE = 0.8
 #: Tokens to either side of a hit that verification looks at.
 REACH = 64
@@ -35,6 +49,11 @@ BLOCK_TOKENS = 1_000_000
 _HIT = "array<struct<item:{},doc_start:int,item_start:int,matched:int,aligned:int>>"
 
 
+def masks_for(length: int) -> tuple[str, ...]:
+    """The masks that find every permitted copy of an item of so many tokens."""
+    return MASKS if length >= RUN else SHORT_MASKS.get(length, ("1" * length,))
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """One hash for each place where the mask fits."""
     n = len(words) - len(mask) + 1
@@ -58,12 +77,13 @@ class SeedIndex:
 
     @classmethod
     def build(cls, words: list[np.ndarray]) -> SeedIndex:
-        span = max(map(len, MASKS))
+        by_mask: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            for mask in masks_for(len(w)) if len(w) else ():
+                by_mask.setdefault(mask, []).append(i)
         masks = {}
-        for mask in [*MASKS, *("1" * n for n in sorted({len(w) for w in words if 0 < len(w) < span}))]:
-            parts = [(seed_hashes(w, mask), i) for i, w in enumerate(words) if len(w) >= span or len(mask) == len(w)]
-            if not parts:
-                continue
+        for mask, at in by_mask.items():
+            parts = [(seed_hashes(words[i], mask), i) for i in at]
             hashes = np.concatenate([h for h, _ in parts])
             items = np.concatenate([np.full(len(h), i, dtype=np.int64) for h, i in parts])
             places = np.concatenate([np.arange(len(h)) for h, _ in parts])

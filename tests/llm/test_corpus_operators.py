@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -148,6 +149,28 @@ def test_overlaps_by_brute_force(spark):
         assert {(r.doc_id, r.o["item"]) for r in out} == want and len(want) > 20
 
 
+def test_every_permitted_change_is_found():
+    """All choices of changed tokens, in items of 3 to 16 tokens, against the rule of the diagonal alone."""
+    for n in range(3, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        index = decontaminate.SeedIndex.build([item])
+        run = min(13, n)
+        for k in range(4):
+            for at in combinations(range(n), k):
+                doc = np.concatenate((np.arange(100, 120), item, np.arange(200, 220))).astype(np.uint64)
+                doc[20 + np.array(at, dtype=int)] = 999
+                same = [i not in at for i in range(n)]
+                want = any(sum(same[a : a + run]) >= 0.8 * run - 1e-9 for a in range(n - run + 1))
+                assert bool(index.find(doc)) == want, (n, at)
+    # the item's borders: only 13 tokens of a longer item are in the document
+    item = np.arange(1, 31, dtype=np.uint64)
+    index = decontaminate.SeedIndex.build([item])
+    for at in combinations(range(13), 2):
+        doc = item[5:18].copy()
+        doc[list(at)] = 999
+        assert index.find(doc), at
+
+
 def test_overlap_edges(spark, edges):
     bench = spark.createDataFrame([("a", "alpha beta gamma delta epsilon"), ("b", None)], "item_id string, text string")
     out = decontaminate.find_overlaps(edges.withColumn("overlaps", F.lit(1)), bench).collect()
