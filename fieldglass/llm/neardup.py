@@ -17,8 +17,8 @@ Pairs are not listed bucket by bucket.  First each bucket is a star around its
 most central class (the one in the largest buckets), and the confirmed edges
 are joined into components.  Then only members outside their bucket's largest
 component meet the members of other components, and the join itself applies
-the sketches.  Buckets of more than ``WIDE`` classes are first cut by one of
-the next ``SECONDS`` bands.
+the sketches.  Buckets of more than ``WIDE`` classes are dealt into square
+blocks, so that tasks share their pairs and every pair still meets once.
 """
 
 from __future__ import annotations
@@ -40,9 +40,8 @@ SAMPLES = BANDS * ROWS
 BITS, SAMPLE = 1024, 512
 #: Standard deviations that a sampled pair may exceed the threshold by.
 SLACK = 5.0
-#: Classes in a bucket from which on it is cut by a second band, and the bands that follow it which serve.  Two sets
-#: of similarity 0.8 agree in about 12 bands and miss all of 4 seconds in each of them with probability under 1e-8.
-WIDE, SECONDS = 256, 4
+#: Classes in a bucket from which on its pairs are dealt into blocks; a block's sides hold about as many each.
+WIDE = 256
 
 _WORDS = BITS // 64
 #: Bitmaps at a set's own sampling level and at the next.
@@ -181,22 +180,19 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _leftover(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) in a bucket but in different components, at least one outside the bucket's largest component, whose sketches allow the threshold."""
-    named = members.join(labels, "node", "left").select("bucket", "place", "node", "size", F.coalesce("component", "node").alias("label"))
+    named = members.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("main"))
-    open_ = named.join(mixed, "bucket").select("bucket", "place", "node", "label", "size", (F.col("label") != F.col("main")).alias("outside"))
-    open_ = materialize(open_, "open")
-    narrow = open_.where(F.col("size") <= WIDE).select("bucket", "node", "label", "outside")
-    wide = open_.where(F.col("size") > WIDE).join(classes.select("node", "bands"), "node")
-    steps = F.explode(F.array(*[F.lit(i) for i in range(1, SECONDS + 1)]))
-    second = F.element_at("bands", (F.col("place") + F.col("step")) % BANDS + 1)
-    cut = wide.withColumn("step", steps).select(F.xxhash64("bucket", second).alias("bucket"), "node", "label", "outside")
-    both = materialize(narrow.unionByName(cut), "open")
-    outside = both.where("outside").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label")).join(_side(classes, "x", "a"), "x")
-    every = both.select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("outside").alias("y_outside")).join(_side(classes, "y", "b"), "y")
+    open_ = named.join(mixed, "bucket").select("bucket", "node", "label", "size", (F.col("label") != F.col("main")).alias("outside"))
+    # a side's row lies in one slice of its bucket and is copied to the blocks of all slices of the other side
+    slices = F.ceil(F.col("size") / WIDE).cast("int")
+    open_ = materialize(open_.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "open")
+    every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    outside = open_.where("outside").withColumn("other", every_slice).select(F.xxhash64("bucket", "own", "other").alias("block"), "bucket", F.col("node").alias("x"), F.col("label").alias("x_label")).join(_side(classes, "x", "a"), "x")
+    every = open_.withColumn("other", every_slice).select(F.xxhash64("bucket", "other", "own").alias("block"), F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("outside").alias("y_outside")).join(_side(classes, "y", "b"), "y")
     # two outside members meet once
     once = (F.col("x_label") != F.col("y_label")) & (~F.col("y_outside") | (F.col("x") < F.col("y")))
-    pairs = outside.withColumnRenamed("bucket", "x_bucket").join(every, (F.col("x_bucket") == F.col("bucket")) & once & similar_enough("a", "b", percent))
+    pairs = outside.withColumnRenamed("block", "x_block").join(every, (F.col("x_block") == F.col("block")) & (F.col("bucket") == F.col("y_bucket")) & once & similar_enough("a", "b", percent))
     return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
@@ -218,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = materialize(firsts, "classes")
     classes = full.join(named.withColumnRenamed("node", "doc_id"), ["digest", "check", "doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "level", "bands", *_SKETCH).dropDuplicates(["node", *_SKETCH])
     classes = materialize(classes, "nodes")
-    entries = classes.select("node", F.posexplode("bands").alias("place", "bucket"))
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(entries.join(sizes, "bucket"), "buckets")
 

@@ -90,6 +90,21 @@ def test_wide_buckets_and_hot_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_wide_buckets_lose_no_pair(spark, monkeypatch):
+    """Pairs that agree in one band only, and that one in a wide bucket, are still candidates."""
+    monkeypatch.setattr(neardup, "WIDE", 4)
+    n = 30
+    sketch = ", ".join(f"{s} long" for s in neardup._SKETCH)
+    zero = [0] * len(neardup._SKETCH)
+    # classes 0..n-1 share a bucket and no other band, and their sketches allow every pair
+    bands = [[77, *(1_000 * i + j for j in range(1, neardup.BANDS))] for i in range(n)]
+    classes = spark.createDataFrame([(i, 100, 0, b, *zero) for i, b in enumerate(bands)], f"node long, n long, level int, bands array<long>, {sketch}")
+    members = spark.createDataFrame([(77, i, 0, n) for i in range(n)], "bucket long, node long, place int, size long")
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    got = sorted((r.u, r.v) for r in neardup._leftover(members, labels, classes, 80).collect())
+    assert got == [(u, v) for u in range(n) for v in range(u) if (u, v) != (1, 0)]
+
+
 def test_odd_sketch_never_exceeds_difference():
     rng = np.random.default_rng(1)
     s = neardup.Sketcher()
