@@ -64,11 +64,14 @@ def _filter() -> np.ndarray:
     return (phases / phases.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase resampling by UP/DOWN.  Output sample m uses phase (m*DOWN) mod UP and the TAPS inputs up to m*DOWN div UP."""
+def resample(x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Polyphase resampling by UP/DOWN.  Output sample m uses phase (m*DOWN) mod UP and the TAPS inputs up to m*DOWN div UP.
+
+    ``before`` holds the TAPS - 1 inputs ahead of ``x``; without it they are silent.
+    """
     phases = _filter()
     n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate((np.zeros(TAPS - 1, np.float32), x))
+    padded = np.concatenate((np.zeros(TAPS - 1, np.float32) if before is None else before, x))
     out = np.empty(n, np.float32)
     for r in range(UP):  # every UP-th output has the same phase and moves DOWN inputs on
         first = (r * DOWN) // UP
@@ -123,10 +126,12 @@ def features(payload: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, list[tu
     """Blocks (n, BLOCK_FRAMES, MELS), their time spans (n, 2) in seconds, and the active spans in seconds.
 
     The last block is padded with the lowest value.  Payloads of more than
-    ``PIECE`` samples are resampled in pieces, each from a silent start.
+    ``PIECE`` samples are resampled in pieces; each takes the last inputs of
+    the one before, so the result is that of the whole.
     """
     x = np.frombuffer(payload, dtype=np.uint8)
-    small = [resample((x[i : i + PIECE].astype(np.float32) - 128.0) / 128.0) for i in range(0, len(x), PIECE)]
+    level = lambda a, b: (x[a:b].astype(np.float32) - 128.0) / 128.0
+    small = [resample(level(i, i + PIECE), level(i - TAPS + 1, i) if i else None) for i in range(0, len(x), PIECE)]
     mel = log_mel(np.concatenate(small) if len(small) > 1 else small[0])
     seconds = HOP * DOWN / UP / rate
     n = -(-len(mel) // BLOCK_FRAMES)

@@ -294,6 +294,14 @@ def test_resampling_and_spans():
     assert media.active_spans(np.zeros(5)) == [] and media.active_spans(np.array([])) == []
 
 
+def test_pieces_of_a_long_text_are_resampled_as_one(monkeypatch):
+    payload = np.random.default_rng(5).integers(0, 256, 2 * media.PIECE + 1_000).astype(np.uint8).tobytes()
+    pieces, spans, active = media.features(payload, media.RATE)
+    monkeypatch.setattr(media, "PIECE", len(payload))
+    whole, whole_spans, whole_active = media.features(payload, media.RATE)
+    assert np.allclose(pieces, whole, atol=1e-3) and np.array_equal(spans, whole_spans) and active == whole_active
+
+
 # -- packing -------------------------------------------------------------------------------
 
 
