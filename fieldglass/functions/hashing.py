@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,8 @@ def with_splitmix64(df: DataFrame, states: dict[str, Column]) -> DataFrame:
     """Add SplitMix64 outputs of several states, step by step as columns, so that each step is compiled code over plain columns.
 
     The Column forms above bind their steps in lambdas, which Spark interprets;
-    use this form for many rows.
+    use this form to sort many rows.  Do not filter on the result: the
+    optimiser would put every step into the condition, several times over.
     """
     out = df.withColumns(states)
     names = list(states)
@@ -97,24 +99,12 @@ def with_splitmix64(df: DataFrame, states: dict[str, Column]) -> DataFrame:
     return out.withColumns({n: shift(n, 31) for n in names})
 
 
-def with_draws(df: DataFrame, seed: int, indices: dict[str, Column]) -> DataFrame:
-    """Add generator outputs by their numbers, as :func:`draw` does."""
-    out = df.withColumns({n: i.cast("long") + 1 for n, i in indices.items()})
-    out = out.withColumns({n: _product(F.col(n), GAMMA) for n in indices})
-    return with_splitmix64(out, {n: _sum(F.col(n), seed & MASK) for n in indices})
-
-
 def with_priority(df: DataFrame, row_id: str, name: str) -> DataFrame:
     """Add :func:`stable_priority` of a row id, in an order that sorts as the unsigned value."""
     out = with_splitmix64(df, {name: _sum(F.col(row_id).cast("long"), GAMMA)})
     return out.withColumn(name, unsigned_order(F.col(name)))
 
 
-def unit_float(x: Column) -> Column:
-    """The top 24 bits as a 32-bit float in [0, 1)."""
-    return (F.shiftrightunsigned(x, 40).cast("float") / F.lit(float(1 << 24)).cast("float")).cast("float")
-
-
 def below(x: Column, n: int) -> Column:
     """Unsigned x modulo n, for n under 2^31: taken limb by limb from the top."""
 
@@ -122,3 +112,20 @@ def below(x: Column, n: int) -> Column:
     for limb in reversed(_limbs(x)):
         rest = (rest * F.lit(1 << 16).cast("long") + limb) % F.lit(n).cast("long")
     return rest
+
+
+# -- the same generator over arrays, for tables that are made rather than read --------------------
+
+
+def array_draws(seed: int, index: np.ndarray) -> np.ndarray:
+    """:func:`draw` for an array of indices, as unsigned 64-bit values."""
+    with np.errstate(over="ignore"):
+        z = (index.astype(np.uint64) + np.uint64(1)) * np.uint64(GAMMA) + np.uint64(seed & MASK)
+        for by, factor in ((30, MIX[0]), (27, MIX[1])):
+            z = (z ^ (z >> np.uint64(by))) * np.uint64(factor)
+        return z ^ (z >> np.uint64(31))
+
+
+def array_unit(x: np.ndarray) -> np.ndarray:
+    """The top 24 bits as 32-bit floats in [0, 1)."""
+    return (x >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)

@@ -1,11 +1,19 @@
-"""Deterministic synthetic tables: every row's draws are addressed by number, so rows are made in parallel."""
+"""Deterministic synthetic tables: every row's draws are addressed by number, so rows are made in parallel.
+
+Rows are made from ``spark.range`` in one array step.  To the optimiser that
+step is opaque, so a filter, bin or join over the table plans at once however
+long the arithmetic of a draw is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.hashing import below, unit_float, with_draws
+from ..functions.hashing import array_draws, array_unit
 
 # Fixed values of the point pattern.
 CLUSTER_CENTER, CLUSTER_SPREAD = (28.0, 72.0), 10.0
@@ -14,43 +22,71 @@ EDGE = 0.02
 GAP, SPIKE, STALE_END, BAND = (220, 280), (460, 500), 120, (760, 820)
 VALUES = {"background": (5.0, 25.0), "spike": (15.0, 35.0), "stale_lane": (4.0, 18.0), "high_value_band": (80.0, 120.0)}
 
-
-def _f(x: float | Column) -> Column:
-    return (x if isinstance(x, Column) else F.lit(float(x))).cast("float")
+_f = np.float32
 
 
-def _between(u: Column, lo: float, hi: float) -> Column:
+def _between(u: np.ndarray, lo: float, hi: float) -> np.ndarray:
     """lo + u * (hi - lo), each step in 32 bits."""
-    return _f(_f(lo) + _f(u * _f(_f(hi) - _f(lo))))
+    return _f(lo) + u * (_f(hi) - _f(lo))
 
 
-def synthetic_points(spark: SparkSession, rows: int, seed: int = 42, x: tuple[float, float] = (0.0, 100.0), y: tuple[float, float] = (0.0, 100.0)) -> DataFrame:
-    """(row_id, x, y, kind): a cluster, a quarter of background and a twentieth of outliers in the corners."""
+def _point_rows(i: np.ndarray, rows: int, seed: int, x: tuple[float, float], y: tuple[float, float]) -> dict[str, np.ndarray]:
     background, outliers = rows // 4, max(1, rows // 20)
     cluster = max(0, rows - background - outliers)
-    i = F.col("row_id")
     # a cluster row takes six draws, a background row two, an outlier three
-    first = F.when(i < cluster, i * 6).when(i < cluster + background, F.lit(6 * cluster) + (i - cluster) * 2).otherwise(F.lit(6 * cluster + 2 * background) + (i - cluster - background) * 3)
-    df = spark.range(rows).withColumnRenamed("id", "row_id").withColumn("_at", first.cast("long"))
-    df = with_draws(df, seed, {f"_d{k}": F.col("_at") + k for k in range(6)})
-    u = [unit_float(F.col(f"_d{k}")) for k in range(6)]
+    first = np.where(i < cluster, i * 6, np.where(i < cluster + background, 6 * cluster + (i - cluster) * 2, 6 * cluster + 2 * background + (i - cluster - background) * 3))
+    d = [array_draws(seed, first + k) for k in range(6)]
+    u = [array_unit(v) for v in d]
+    group = np.where(i < cluster, 0, np.where(i < cluster + background, 1, 2))
+    side = d[0] % np.uint64(4)
 
-    def clustered(a: int, center: float, lo: float, hi: float) -> Column:
-        mean = _f(_f(_f(u[a] + u[a + 1]) + u[a + 2]) / 3.0)
-        return F.greatest(_f(lo), F.least(_f(hi), _f(_f(center) + _f(_f(mean - _f(0.5)) * _f(CLUSTER_SPREAD)))))
+    def clustered(a: int, center: float, lo: float, hi: float) -> np.ndarray:
+        mean = (u[a] + u[a + 1] + u[a + 2]) / _f(3.0)
+        return np.clip(_f(center) + (mean - _f(0.5)) * _f(CLUSTER_SPREAD), _f(lo), _f(hi))
 
-    def corner(k: int, near_low: Column, lo: float, hi: float) -> Column:
+    def corner(k: int, low: np.ndarray, lo: float, hi: float) -> np.ndarray:
         by = _between(u[k], 0.0, (hi - lo) * EDGE)
-        return F.when(near_low, _f(_f(lo) + by)).otherwise(_f(_f(hi) - by))
+        return np.where(low, _f(lo) + by, _f(hi) - by)
+
+    return {
+        "row_id": i,
+        "x": np.choose(group, (clustered(0, CLUSTER_CENTER[0], *x), _between(u[0], *x), corner(1, side % 2 == 0, *x))),
+        "y": np.choose(group, (clustered(3, CLUSTER_CENTER[1], *y), _between(u[1], *y), corner(2, side < 2, *y))),
+        "kind": np.array(["cluster", "background", "outlier"])[group],
+    }
+
+
+def synthetic_points(spark: SparkSession, rows: int, seed: int = 42, x: tuple[float, float] = (0.0, 100.0), y: tuple[float, float] = (0.0, 100.0)) -> DataFrame:
+    """(row_id, x, y, kind): a cluster, a quarter of background and a twentieth of outliers in the corners."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = _point_rows(b.column(0).to_numpy(), rows, seed, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made.values()], names=list(made))
 
-    side = below(F.col("_d0"), 4)
-    kind = F.when(i < cluster, "cluster").when(i < cluster + background, "background").otherwise("outlier")
-    return df.select(
-        "row_id",
-        F.when(i < cluster, clustered(0, CLUSTER_CENTER[0], *x)).when(i < cluster + background, _between(u[0], *x)).otherwise(corner(1, side.isin(0, 2), *x)).alias("x"),
-        F.when(i < cluster, clustered(3, CLUSTER_CENTER[1], *y)).when(i < cluster + background, _between(u[1], *y)).otherwise(corner(2, side.isin(0, 1), *y)).alias("y"),
-        kind.alias("kind"),
-    )
+    return spark.range(rows).mapInArrow(make, "row_id long, x float, y float, kind string")
+
+
+def _event_rows(i: np.ndarray, rows: int, seed: int, time: tuple[int, int], lanes: int) -> dict[str, np.ndarray]:
+    lo, hi = time
+    spike, stale, band = rows // 4, rows // 10, rows // 8
+    background = rows - spike - stale - band
+    sizes, draws = (background, spike, stale, band), (4, 3, 2, 3)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:4]
+    used = np.concatenate(([0], np.cumsum(np.multiply(sizes, draws))))[:4]
+    group = np.searchsorted(starts[1:], i, "right")
+    first = used[group] + (i - starts[group]) * np.array(draws)[group]
+    d = [array_draws(seed, first + k) for k in range(4)]
+    below = lambda k, n: (d[k] % np.uint64(n)).astype(np.int64)
+    within = lambda k, a, b: below(k, b - a + 1) + a
+    early, late = (lo, min(GAP[0] - 1, hi)), (max(GAP[1] + 1, lo), hi)
+    is_early = below(0, early[1] - early[0] + 1 + late[1] - late[0] + 1) < early[1] - early[0] + 1
+    stale_lane = np.full(len(i), lanes - 1, dtype=np.int64)
+    times = (np.where(is_early, within(1, *early), within(1, *late)), within(0, max(lo, SPIKE[0]), min(hi, SPIKE[1])), within(0, lo, min(hi, STALE_END)), within(1, max(lo, BAND[0]), min(hi, BAND[1])))
+    # in the last group the lane is drawn before the time
+    placed = (below(2, lanes - 1), below(1, lanes - 1), stale_lane, below(0, min(lanes - 1, 3) + 1))
+    values = [_between(array_unit(d[k]), *VALUES[name]) for name, k in zip(VALUES, (3, 2, 1, 2), strict=True)]
+    return {"row_id": i, "ts": np.choose(group, times), "lane": np.choose(group, placed).astype(np.int32), "value": np.choose(group, values), "kind": np.array(list(VALUES))[group]}
 
 
 def synthetic_events(spark: SparkSession, rows: int, seed: int = 42, time: tuple[int, int] = (0, 1_000), lanes: int = 8) -> DataFrame:
@@ -64,26 +100,10 @@ def synthetic_events(spark: SparkSession, rows: int, seed: int = 42, time: tuple
         raise ValueError("a synthetic timeline needs at least two lanes")
     if not (lo < STALE_END and lo < GAP[0] - 1 and hi > GAP[1] + 1 and hi > BAND[0] and hi > SPIKE[0] and hi - lo < 2**31):
         raise ValueError("the time range does not hold the synthetic patterns")
-    spike, stale, band = rows // 4, rows // 10, rows // 8
-    background = rows - spike - stale - band
-    starts = (0, background, background + spike, background + spike + stale, rows)
-    i = F.col("row_id")
-    # background rows take four draws, spikes three, stale rows two, the rest three
-    first = F.when(i < starts[1], i * 4).when(i < starts[2], F.lit(4 * background) + (i - starts[1]) * 3).when(i < starts[3], F.lit(4 * background + 3 * spike) + (i - starts[2]) * 2).otherwise(F.lit(4 * background + 3 * spike + 2 * stale) + (i - starts[3]) * 3)
-    df = spark.range(rows).withColumnRenamed("id", "row_id").withColumn("_at", first.cast("long"))
-    df = with_draws(df, seed, {f"_d{k}": F.col("_at") + k for k in range(4)})
-    d = [F.col(f"_d{k}") for k in range(4)]
-    within = lambda k, a, b: below(d[k], b - a + 1) + F.lit(a).cast("long")
-    early, late = (lo, min(GAP[0] - 1, hi)), (max(GAP[1] + 1, lo), hi)
-    is_early = below(d[0], early[1] - early[0] + 1 + late[1] - late[0] + 1) < early[1] - early[0] + 1
-    anomaly_lanes = min(lanes - 1, 3) + 1
-    parts = [
-        ("background", F.when(is_early, within(1, *early)).otherwise(within(1, *late)), below(d[2], lanes - 1), 3),
-        ("spike", within(0, max(lo, SPIKE[0]), min(hi, SPIKE[1])), below(d[1], lanes - 1), 2),
-        ("stale_lane", within(0, lo, min(hi, STALE_END)), F.lit(lanes - 1).cast("long"), 1),
-        # the lane is drawn before the time here
-        ("high_value_band", within(1, max(lo, BAND[0]), min(hi, BAND[1])), below(d[0], anomaly_lanes), 2),
-    ]
-    pick = lambda cols: F.when(i < starts[1], cols[0]).when(i < starts[2], cols[1]).when(i < starts[3], cols[2]).otherwise(cols[3])
-    values = [_between(unit_float(d[k]), *VALUES[name]) for name, _, _, k in parts]
-    return df.select("row_id", pick([p[1] for p in parts]).alias("ts"), pick([p[2] for p in parts]).cast("int").alias("lane"), pick(values).alias("value"), pick([F.lit(p[0]) for p in parts]).alias("kind"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = _event_rows(b.column(0).to_numpy(), rows, seed, time, lanes)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made.values()], names=list(made))
+
+    return spark.range(rows).mapInArrow(make, "row_id long, ts long, lane int, value float, kind string")

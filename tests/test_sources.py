@@ -1,11 +1,13 @@
 import json
 import os
+import time
 
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.operators import fields
 from fieldglass.operators.selection import lowest_rows
 from fieldglass.plans.evidence import Evidence, decode, escape_cell, evidence_of, redact_path, write_bundle, write_intervals
 from fieldglass.sources import keys, profiles, readers, synthetic
@@ -124,6 +126,16 @@ def test_synthetic_points(spark):
         assert abs(r.x - x) < 1e-4 and abs(r.y - y) < 1e-4
 
 
+def test_synthetic_tables_plan_at_once_under_filters_bins_and_joins(spark):
+    points, events = synthetic.synthetic_points(spark, 2_000), synthetic.synthetic_events(spark, 2_000)
+    grid = fields.binned(points, F.col("x").cast("double"), F.col("y").cast("double"), (0.0, 100.0, 0.0, 100.0), 64, 64)
+    for df in (points.where("x > 1 and y < 99"), grid, events.where("ts > 10 and value > 6"), points.where("x > 1").join(events.where("lane < 7"), "row_id")):
+        began = time.perf_counter()
+        df._jdf.queryExecution().optimizedPlan().toString()
+        assert time.perf_counter() - began < 5
+    assert fields.density(grid).agg(F.sum("n")).first()[0] == 2_000
+
+
 def test_synthetic_events(spark):
     n, seed = 400, 33
     rows = synthetic.synthetic_events(spark, n, seed).orderBy("row_id").collect()
