@@ -1,52 +1,59 @@
 """Language-model scores of texts.
 
-The model mixes, word by word, two distributions:
-
-* the add-one word frequencies of the training texts, and
-* a causal self-attention network over subword ids, trained here in numpy.
-
-The network reads blocks of ``BLOCK`` ids; each block attends to itself, with
-a causal mask, and to the block before, so context windows of two blocks
-overlap by one and every id is scored exactly once.  It predicts the class of
-the next id; ids follow from their class by their frequency in all training
-texts.  Classes hold either ids that begin a word or ids that continue one, so
-the probability that a word ends is known and word probabilities sum to 1.
+The model is a causal self-attention network over subword ids
+(:mod:`.attention`) with a memory of the whole corpus.
+
+* The network is trained on all training rows.  Rounds take disjoint shares of
+  the rows, each larger than the one before; in a round every task trains on
+  its own rows from the same start, and Spark averages the tasks' parameters.
+* The memory holds phrases.  A text is cut where the hash of three words in a
+  row says so, and every ``LONGEST`` words; what follows such a context up to
+  the next cut is a phrase.  A phrase is a copy from the memory with
+  probability g, drawn as the training rows continued the same context, else it
+  is the network's.  So texts that occur elsewhere are told apart.  A training
+  row's own occurrence is taken off, so no text remembers itself.
+
+Word probabilities of the network sum to 1: it knows the probability that a
+word ends.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import GAP, LOWER, UPPER, ascii_lower, lowest_hashed, materialize, share, shared
+from .attention import BATCH, BLOCK, Blocks, Params, Trainer, Units, initial, pack, score, unpack
+from .core import LOWER, UPPER, WordHasher, discard, materialize, mix64, share, shared, window_hashes
 from .tokens import END_OF_TEXT, Tokens
 
-BLOCK = 16
-DIM = 16
-#: Classes of ids that begin and that continue words.
-BEGIN_CLASSES, INNER_CLASSES = 32, 32
-#: Ids with an embedding of their own: the most frequent ones; the rest share one.
-OWN = 4_096
 VOCABULARY = 50_257
 END_ID = 50_256
 #: The end of a text among the words; no word can hold a line feed.
 END = "\n"
 _END = END.encode()
-#: Bounds: texts the network is trained on, and the most frequent words, whose counts each task holds.
-SAMPLE_TEXTS = 2_000
-FREQUENT_WORDS = 200_000
-STEPS, BATCH, RATE = 300, 256, 0.01
-#: Words that are gathered from several texts before they are scored.
+#: The most frequent words and phrases, whose counts each task holds; all others are joined.
+FREQUENT_WORDS, FREQUENT_PHRASES = 200_000, 20_000
+#: Shares of the training rows that the rounds of a pass take, in sixteenths.
+ROUNDS = (1, 1, 2, 4, 8)
+#: Step sizes of the last two rounds; those before take the first.
+RATES = (0.01, 0.006, 0.003)
+#: Small tables are gone over again, until so many ids are seen or ``MOST_PASSES`` are done.
+LEAST_IDS, MOST_PASSES = 4_000_000, 4
+#: Batches of training are as large as gives about so many over all rows, up to the network's own bound.
+STEPS = 1_500
+#: Words of a phrase's context; one context in so many begins a phrase; a phrase's most words.
+CONTEXT, EVERY, LONGEST = 3, 32, 64
+#: Words that are gathered from several texts before they are scored or learned from.
 BATCH_WORDS = 32_768
-#: Blocks whose scores are worked out at once.
-CHUNK = 256
-#: Exponents are held below this, far above any that training reaches.
-MOST_LOGIT = np.float32(60)
+#: Distinct words that a task counts before it sends them on.
+DISTINCT = 400_000
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -55,185 +62,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split()
 
 
-# -- the network ---------------------------------------------------------------
+# -- phrases -------------------------------------------------------------------------
 
+with np.errstate(over="ignore"):
+    _POWERS = np.multiply.accumulate(np.full(LONGEST + 1, 0x9DDFEA08EB382D69, dtype=np.uint64))
+_END_HASH = np.uint64(0x1B873593CC9E2D51)
 
-@dataclass
-class Classes:
-    """``of``: class of each id; ``log_share``: log p(id | class); the first ``BEGIN_CLASSES`` begin words."""
-
-    of: np.ndarray
-    log_share: np.ndarray
-
-    @classmethod
-    def build(cls, counts: np.ndarray, begins: np.ndarray) -> Classes:
-        """Classes of about equal mass; ids in order of frequency."""
-        of = np.zeros(VOCABULARY, dtype=np.int64)
-        mass = counts + 0.05
-        for kind, base, n in ((begins, 0, BEGIN_CLASSES), (~begins, BEGIN_CLASSES, INNER_CLASSES)):
-            ids = np.flatnonzero(kind)
-            ids = ids[np.lexsort((ids, -counts[ids]))]
-            ahead = np.cumsum(mass[ids]) - mass[ids]
-            of[ids] = base + np.minimum(n - 1, (ahead / mass[ids].sum() * n).astype(np.int64))
-        total = np.bincount(of, mass, minlength=BEGIN_CLASSES + INNER_CLASSES)
-        return cls(of, np.log(mass / total[of]).astype(np.float32))
-
-
-def _mask() -> np.ndarray:
-    """Added to attention: id i of a block sees the block before and its own ids up to i."""
-    later = np.arange(2 * BLOCK)[None, :] > np.arange(BLOCK)[:, None] + BLOCK
-    return np.where(later, np.float32(-1e9), np.float32(0))
-
-
-_DISTANCE = np.maximum(0, np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :])
-_MASK = _mask()
-
-
-def blocks_of(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets of several id streams, as (n, BLOCK) with -1 as filling; whether each block continues the one before; places of the real targets."""
-    sizes = np.array([len(s) for s in streams])
-    padded = -(-sizes // BLOCK) * BLOCK
-    begin = np.concatenate(([0], np.cumsum(padded)))
-    target = np.full(begin[-1], -1, dtype=np.int64)
-    source = np.full(begin[-1], -1, dtype=np.int64)
-    place = np.repeat(begin[:-1] - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())
-    flat = np.concatenate(streams)
-    target[place] = flat
-    source[place[1:]] = flat[:-1]
-    source[begin[:-1]] = END_ID
-    follows = np.ones(len(target) // BLOCK, dtype=bool)
-    follows[begin[:-1] // BLOCK] = False
-    return source.reshape(-1, BLOCK), target.reshape(-1, BLOCK), follows, place
-
-
-class Network:
-    """One head of causal self-attention with relative-distance biases, and a linear read-out."""
-
-    NAMES = ("emb", "wq", "wk", "wv", "dist", "direct", "mixed", "bias")
-
-    def __init__(self, own: np.ndarray, class_mass: np.ndarray, seed: int = 7) -> None:
-        rng = np.random.default_rng(seed)
-        n = len(class_mass)
-        self.row = np.full(VOCABULARY + 1, len(own), dtype=np.int64)  # the last entry is the filling, -1
-        self.row[own] = np.arange(len(own))
-        normal = lambda *s, by=0.3: (rng.standard_normal(s) * by).astype(np.float32)
-        self.emb = normal(len(own) + 1, DIM)
-        self.wq, self.wk, self.wv = normal(DIM, DIM), normal(DIM, DIM), normal(DIM, DIM)
-        self.dist = np.zeros(2 * BLOCK, dtype=np.float32)
-        self.direct, self.mixed = normal(DIM, n, by=0.1), normal(DIM, n, by=0.1)
-        self.bias = np.log((class_mass + 1) / (class_mass + 1).sum()).astype(np.float32)
-
-    def _attention(self, q: np.ndarray, k: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += self.dist[_DISTANCE] + _MASK
-        s[~follows, :, :BLOCK] = np.float32(-1e9)
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        return s
-
-    def train(self, source: np.ndarray, target: np.ndarray, follows: np.ndarray, classes: Classes, steps: int = STEPS, seed: int = 11) -> None:
-        """Adam on the cross-entropy of the next id's class, over random batches of blocks."""
-        rng = np.random.default_rng(seed)
-        before = np.concatenate((source[:1], source[:-1]))
-        params = {n: getattr(self, n) for n in self.NAMES}
-        first = {n: np.zeros_like(p) for n, p in params.items()}
-        second = {n: np.zeros_like(p) for n, p in params.items()}
-        scale = np.float32(DIM**-0.5)
-        for t in range(1, steps + 1):
-            at = rng.integers(0, len(source), BATCH)
-            rc, rp = self.row[source[at]], self.row[before[at]]
-            real = target[at] >= 0
-            y = classes.of[np.maximum(target[at], 0)]
-            xc = self.emb[rc]
-            xk = np.concatenate((self.emb[rp], xc), axis=1)
-            q, k, v = xc @ self.wq, xk @ self.wk, xk @ self.wv
-            a = self._attention(q, k, follows[at])
-            h = a @ v
-            z = xc @ self.direct + h @ self.mixed + self.bias
-            z -= z.max(axis=2, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=2, keepdims=True)
-            dz = p
-            np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], 2) - 1, 2)
-            dz *= (real / max(1, real.sum()))[..., None].astype(np.float32)
-            flat = dz.reshape(-1, dz.shape[-1])
-            dh = dz @ self.mixed.T
-            da = dh @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dh
-            dxk = dk @ self.wk.T + dv @ self.wv.T
-            dxc = dz @ self.direct.T + dq @ self.wq.T + dxk[:, BLOCK:]
-            de = np.zeros_like(self.emb)
-            np.add.at(de, np.concatenate((rp.ravel(), rc.ravel())), np.concatenate((dxk[:, :BLOCK].reshape(-1, DIM), dxc.reshape(-1, DIM))))
-            to2 = lambda x: x.reshape(-1, DIM)
-            grads = {
-                "emb": de,
-                "wq": to2(xc).T @ to2(dq),
-                "wk": to2(xk).T @ to2(dk),
-                "wv": to2(xk).T @ to2(dv),
-                "dist": np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), minlength=2 * BLOCK).astype(np.float32),
-                "direct": to2(xc).T @ flat,
-                "mixed": to2(h).T @ flat,
-                "bias": flat.sum(axis=0),
-            }
-            rate = RATE * min(1.0, t / 20) * (1.0 if t < 0.6 * steps else 0.3)
-            for n, g in grads.items():
-                first[n] = 0.9 * first[n] + 0.1 * g
-                second[n] = 0.99 * second[n] + 0.01 * g * g
-                params[n] -= (rate * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-
-    def _tables(self, classes: Classes) -> None:
-        """Projections of every id with an embedding; values carry a 1 that sums the attention weights."""
-        self.tq = self.emb @ self.wq * np.float32(DIM**-0.5)
-        v = np.concatenate((self.emb @ self.wv, np.ones((len(self.emb), 1), np.float32)), axis=1)
-        self.tkv = np.concatenate((self.emb @ self.wk, v), axis=1)
-        self.td = self.emb @ self.direct + self.bias
-        self.offset = (self.dist[_DISTANCE] + _MASK).astype(np.float32)
-        self.kinds = np.zeros((len(self.bias), 2), np.float32)
-        self.kinds[:BEGIN_CLASSES, 0] = self.kinds[BEGIN_CLASSES:, 1] = 1
-
-    def score(self, source: np.ndarray, target: np.ndarray, follows: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-        """log p(target) and log p(the target begins a word), of all places, ``CHUNK`` blocks at a time."""
-        if not hasattr(self, "tq"):
-            self._tables(classes)
-        parts = [self._score(source[max(0, i - 1) : i + CHUNK], target[i : i + CHUNK].ravel(), follows[i : i + CHUNK], classes, i > 0) for i in range(0, len(source), CHUNK)]
-        return np.concatenate([p for p, _ in parts]), np.concatenate([b for _, b in parts])
-
-    def _score(self, source: np.ndarray, target: np.ndarray, follows: np.ndarray, classes: Classes, has_before: bool) -> tuple[np.ndarray, np.ndarray]:
-        r = self.row[source]
-        now, kv = r[1:] if has_before else r, self.tkv[r]
-        kv = np.concatenate((kv[:-1], kv[1:]) if has_before else (np.concatenate((kv[:1], kv[:-1])), kv), axis=1)
-        s = self.tq[now] @ kv[:, :, :DIM].transpose(0, 2, 1)
-        s += self.offset
-        np.minimum(s, MOST_LOGIT, out=s)
-        np.exp(s, out=s)
-        s[~follows, :, :BLOCK] = 0
-        h = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
-        z = self.td[now.ravel()]
-        z += (h[:, :DIM] / h[:, DIM:]) @ self.mixed
-        np.minimum(z, MOST_LOGIT, out=z)
-        t = np.maximum(target, 0)
-        own = z[np.arange(len(z)), classes.of[t]]
-        np.exp(z, out=z)
-        mass = z @ self.kinds
-        total = np.log(mass[:, 0] + mass[:, 1])
-        return own - total + classes.log_share[t], np.log(mass[:, 0]) - total
-
-
-# -- the model over words --------------------------------------------------------
 
+def phrases(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, context, phrase) of each phrase of a text with these word hashes; the text's end counts as a word of the last one."""
+    none = np.empty(0, dtype=np.int64)
+    if len(words) < CONTEXT:
+        return none, none, none
+    contexts = window_hashes(words, CONTEXT)  # number i ends before word i + CONTEXT
+    cuts = np.flatnonzero(contexts % np.uint64(EVERY) == 0) + CONTEXT
+    if not len(cuts):
+        return none, none, none
+    # more cuts in gaps that are too long
+    ends = np.concatenate((cuts[1:], [len(words) + 1]))
+    pieces = -(-(ends - cuts) // LONGEST)
+    starts = np.repeat(cuts - LONGEST * (np.cumsum(pieces) - pieces), pieces) + LONGEST * np.arange(pieces.sum())
+    flat = np.append(words, _END_HASH)[starts[0] :]
+    place = np.arange(len(flat)) - np.repeat(starts - starts[0], np.diff(np.append(starts - starts[0], len(flat))))
+    with np.errstate(over="ignore"):
+        phrase = mix64(np.add.reduceat(flat * _POWERS[place], starts - starts[0]))
+    return starts, contexts[starts - CONTEXT].view(np.int64), phrase.view(np.int64)
 
-@dataclass
-class TextModel:
-    network: Network
-    classes: Classes
-    weight: float  #: of the word frequencies in the mixture
-    n: int  #: training tokens
-    v: int  #: distinct ones
-    frequent: tuple[np.ndarray, np.ndarray]  #: words and counts that every task holds
-    folder: str | None
+
+def phrase_key(context: int, phrase: int) -> str:
+    """The key of a phrase among the words."""
+    return f"{END}{context}:{phrase}"
+
+
+# -- words as ids -----------------------------------------------------------------------
 
 
 class WordTable:
@@ -241,8 +102,8 @@ class WordTable:
 
     LIMIT = 300_000
 
-    def __init__(self, folder: str | None, counts: dict[str, int]) -> None:
-        self.tokens, self.counts = Tokens(folder), counts
+    def __init__(self, folder: str | None, counts: dict[str, int] | None = None) -> None:
+        self.tokens, self.counts = Tokens(folder), counts or {}
         self.begins = self.tokens.starts_word(VOCABULARY).tolist()
         self.clear()
 
@@ -302,12 +163,27 @@ class WordTable:
         return ids[np.repeat(first[numbers] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
-def word_log_probs(network: Network, classes: Classes, table: WordTable, numbered: list[np.ndarray]) -> list[np.ndarray]:
+def _gathered(texts: Iterator[str | None], table: WordTable) -> Iterator[list[np.ndarray]]:
+    """Numbers of the words of texts, in lists of about ``BATCH_WORDS``; all of one list are of one state of the table."""
+    out: list[np.ndarray] = []
+    held = 0
+    for text in texts:
+        out.append(table.number(words_of(None if text is pd.NA else text)))
+        held += len(out[-1])
+        if held >= BATCH_WORDS or len(table.names) > table.LIMIT:
+            yield out
+            out, held = [], 0
+            if len(table.names) > table.LIMIT:
+                table.clear()
+    if out:
+        yield out
+
+
+def word_log_probs(params: Params, units: Units, table: WordTable, numbered: list[np.ndarray]) -> list[np.ndarray]:
     """Natural log p(word | words before), of each word of each text; every text ends in END."""
     streams, begins = zip(*(table.stream(n) for n in numbered), strict=True)
-    source, target, follows, place = blocks_of(list(streams))
-    p, b = network.score(source, target, follows, classes)
-    p, b = p[place].astype(np.float64), b[place].astype(np.float64)
+    blocks = Blocks.cut(list(streams), units, END_ID)
+    p, b = (x[blocks.place].astype(np.float64) for x in score(params, units, blocks))
     out, at = [], 0
     for begin in begins:
         lp, lb = p[at : at + begin[-1]], b[at : at + begin[-1]]
@@ -318,23 +194,64 @@ def word_log_probs(network: Network, classes: Classes, table: WordTable, numbere
     return out
 
 
+# -- counts over all training rows -------------------------------------------------------
+
+
 def _is_training(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
 
 
-def word_counts(docs: DataFrame, training: Column) -> DataFrame:
-    """(word, c) over the training rows, with one END for each of them."""
-    rows = docs.where(training).select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = rows.select(F.explode(F.split(ascii_lower(F.col("text")), GAP)).alias("word")).where("word != ''")
-    ends = rows.agg(F.count(F.lit(1)).alias("c")).where("c > 0").select(F.lit(END).alias("word"), "c")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("c")).unionAll(ends)
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """(word, context, phrase, c) over ``rows`` (text): of each word, with one END for each row, and of each phrase, whose word is null.
+
+    Tasks count what they hold, so a frequent word or phrase is one row of a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, kept, hasher = Counter(), Counter(), WordHasher()
+
+        def flush() -> pa.RecordBatch:
+            none, n, m = None, len(words), len(kept)
+            pairs = list(zip(*kept, strict=True)) or [(), ()]
+            columns = [
+                pa.array([*words, *[none] * m], pa.binary()).cast(pa.string()),
+                pa.array([*[none] * n, *pairs[0]], pa.int64()),
+                pa.array([*[none] * n, *pairs[1]], pa.int64()),
+                pa.array([*words.values(), *kept.values()], pa.int64()),
+            ]
+            words.clear()
+            kept.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "context", "phrase", "c"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(words_of(text))
+                words[_END] += 1
+                _, context, phrase = phrases(hasher(text))
+                kept.update(zip(context.tolist(), phrase.tolist(), strict=True))
+                if len(words) + len(kept) > DISTINCT:
+                    yield flush()
+        yield flush()
+
+    partial = rows.select("text").mapInArrow(run, "word string, context long, phrase long, c long")
+    return partial.groupBy("word", "context", "phrase").agg(F.sum("c").alias("c"))
+
+
+def _least(counts: DataFrame, room: int) -> int:
+    """The lowest count that leaves no more than ``room`` rows, from a histogram of counts."""
+    least = 1
+    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).toLocalIterator():
+        room -= r.k
+        if room < 0:
+            return r.c + 1
+    return least
 
 
-def _subword_counts(counts: DataFrame, folder: str | None) -> np.ndarray:
+def _subword_counts(words: DataFrame, folder: str | None) -> np.ndarray:
     """Occurrences of each id in all training texts, from the word counts; one vector leaves each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, total = WordTable(folder, {}), np.zeros(VOCABULARY, dtype=np.int64)
+        table, total = WordTable(folder), np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
             table.clear()
             numbers = table.number([w.encode("utf-8", "surrogatepass") for w in batch["word"]])[:-1]
@@ -345,128 +262,176 @@ def _subword_counts(counts: DataFrame, folder: str | None) -> np.ndarray:
         yield pd.DataFrame({"id": at, "n": total[at]})
 
     out = np.zeros(VOCABULARY, dtype=np.int64)
-    for r in counts.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
 
-def fit_text_model(docs: DataFrame, training: Column, folder: str | None = None, steps: int = STEPS) -> tuple[TextModel, DataFrame]:
-    """The model, and the table (word, c) of all training counts, which stays distributed.
+# -- training ------------------------------------------------------------------------------
 
-    Counts of words and ids cover all training rows.  The network is trained
-    on the ``SAMPLE_TEXTS`` training rows whose doc_id hashes lowest; a fifth
-    of them fits the weight of the mixture, each word's own occurrence taken
-    off its count.
+
+def train_network(rows: DataFrame, units: Units, ids: int, folder: str | None = None) -> Params:
+    """The network's parameters after training on all ``rows`` (text), which hold so many ids.
+
+    In each pass a row belongs to one round by the hash of its text.  What a
+    task sends is one vector of fixed size; the driver gets one for each round.
     """
-    counts = materialize(word_counts(docs, training), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # the lowest count that leaves no more than FREQUENT_WORDS words, from a histogram of counts
-    least, room = 1, FREQUENT_WORDS
-    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).toLocalIterator():
-        room -= r.k
-        if room < 0:
-            least = r.c + 1
-            break
-    top = counts.where(F.col("c") >= least).toPandas()
-    known = dict(zip(top["word"], top["c"], strict=True))
-    sub = _subword_counts(counts, folder)
-    begins = Tokens(folder).starts_word(VOCABULARY)
-    begins[END_ID] = True
-    classes = Classes.build(sub, begins)
-    own = np.lexsort((np.arange(VOCABULARY), -sub))[:OWN]
-    network = Network(np.sort(own), np.bincount(classes.of, sub, minlength=BEGIN_CLASSES + INNER_CLASSES))
-    trained = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    chosen = lowest_hashed(docs.where(training).select("doc_id", "text"), "doc_id", SAMPLE_TEXTS, trained).collect()
-    texts = sorted((r.text or "" for r in chosen), key=lambda t: hash_order(t))
-    weight = 1.0
-    if texts:
-        table = WordTable(folder, known)
-        numbered = [table.number(words_of(t)) for t in texts]
-        cut = max(1, len(texts) // 5)
-        if len(texts) > cut:
-            source, target, follows, _ = blocks_of([table.stream(x)[0] for x in numbered[cut:]])
-            network.train(source, target, follows, classes, steps)
-        parts = word_log_probs(network, classes, table, numbered[:cut])
-        held = np.concatenate(numbered[:cut])
-        rare = [w for w in {table.names[i] for i in held.tolist()} if w not in known]
-        if rare:  # bounded by the sample
-            wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"word": rare}))
-            known_rare = {r.word: r.c for r in counts.join(wanted, "word").collect()}
-        else:
-            known_rare = {}
-        c = np.array([known.get(w, known_rare.get(w, 1)) for w in (table.names[i] for i in held.tolist())], dtype=float)
-        base, net = np.maximum(c, 1.0) / (n + v + 1.0), np.exp(np.concatenate(parts))
-        weight = 0.5
-        for _ in range(30):
-            share = weight * base / (weight * base + (1 - weight) * net)
-            weight = float(np.clip(share.mean(), 0.01, 0.99))
-    return TextModel(network, classes, weight, int(n), int(v), (top["word"].to_numpy(), top["c"].to_numpy()), folder), counts
+    batch = int(np.clip(ids / BLOCK / STEPS, 16, BATCH))
+    passes = int(np.clip(-(-LEAST_IDS // max(1, ids)), 1, MOST_PASSES))
+    ends = np.cumsum(ROUNDS).tolist()
+    rounds = [*zip([0, *ends[:-1]], ends, strict=True), *[(0, ends[-1])] * (passes - 1)]
+    spark = rows.sparkSession
+    params = initial(units)
+    share_of = F.pmod(F.xxhash64("text"), F.lit(sum(ROUNDS)))
+    for i, (begin, end) in enumerate(rounds):
+        rate = RATES[max(0, i - len(rounds) + 3)] if i + 3 > len(rounds) else RATES[0]
+        sent = share(spark, (params, units))
+
+        def run(batches: Iterator[pd.DataFrame], sent: object = sent, rate: float = rate) -> Iterator[pd.DataFrame]:
+            start, known = shared(sent)
+            table, trainer = WordTable(folder), Trainer(start, known, batch, rate)
+            for numbered in _gathered((t for b in batches for t in b["text"].array), table):
+                trainer.learn(Blocks.cut([table.stream(n)[0] for n in numbered], known, END_ID))
+            if trainer.seen:
+                yield pd.DataFrame({"seen": [trainer.seen], "flat": [(pack(trainer.params) * np.float64(trainer.seen)).tobytes()]})
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen, total = 0, None
+            for b in batches:
+                for n, flat in zip(b["seen"], b["flat"], strict=True):
+                    part = np.frombuffer(flat)
+                    seen, total = seen + n, part.copy() if total is None else total + part
+            if seen:
+                yield pd.DataFrame({"seen": [seen], "flat": [total.tobytes()]})
+
+        schema = "seen long, flat binary"
+        mine = rows.where((share_of >= begin) & (share_of < end)).select("text")
+        sums = mine.mapInPandas(run, schema).repartition(16).mapInPandas(add, schema).repartition(1).mapInPandas(add, schema).collect()
+        for r in sums:
+            params = unpack((np.frombuffer(bytes(r.flat)) / r.seen).astype(np.float32))
+        sent.destroy()
+    return params
+
+
+@dataclass
+class TextModel:
+    params: Params
+    units: Units
+    copies: float  #: g, the probability that a phrase is a copy
+    n: int  #: training tokens
+    v: int  #: distinct ones
+    words: tuple[np.ndarray, np.ndarray]  #: frequent words and their counts
+    phrases: dict[tuple[int, int], tuple[int, int]]  #: counts of frequent phrases and of their contexts
+    folder: str | None
 
 
-def hash_order(text: str) -> int:
-    import zlib
+def fit_text_model(docs: DataFrame, training: Column, folder: str | None = None) -> tuple[TextModel, DataFrame, DataFrame]:
+    """The model; the table (word, c, of) of the counts that it does not hold, which stays distributed; and the scratch table of all counts.
 
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    ``of`` is the count of a phrase's context, null for words.
+    """
+    rows = docs.where(training)
+    counts = materialize(corpus_counts(rows.select("text")), "counts")
+    words, kept = counts.where("word is not null").select("word", "c"), counts.where("word is null").select("context", "phrase", "c")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    copied, every = kept.agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    least_word, least_phrase = _least(words, FREQUENT_WORDS), _least(kept, FREQUENT_PHRASES)
+    top = words.where(F.col("c") >= least_word).toPandas()
+    remembered = kept.join(kept.groupBy("context").agg(F.sum("c").alias("of")), "context")
+    often = {(r.context, r.phrase): (r.c, r.of) for r in remembered.where(F.col("c") >= least_phrase).collect()}
+    sub = _subword_counts(words, folder)
+    begins = Tokens(folder).starts_word(VOCABULARY)
+    begins[END_ID] = True
+    units = Units.build(sub, begins)
+    params = train_network(rows, units, int(sub.sum()), folder)
+    rare = words.where(F.col("c") < least_word).select("word", "c", F.lit(None).cast("long").alias("of"))
+    key = F.concat(F.lit(END), F.col("context").cast("string"), F.lit(":"), F.col("phrase").cast("string"))
+    looked_up = rare.unionByName(remembered.where(F.col("c") < least_phrase).select(key.alias("word"), "c", "of"))
+    copies = float(np.clip(copied / max(1, every), 1e-4, 0.5))
+    return TextModel(params, units, copies, int(n), int(v), (top["word"].to_numpy(), top["c"].to_numpy()), often, folder), looked_up, counts
 
 
 def score_texts(docs: DataFrame, training: Column | None = None, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, network_score and score.
 
     ``training`` marks the rows to learn from; by default those whose
     crc32(doc_id as text) modulo 7 is not 2, and those with a null doc_id.
-    Scores are log10 probabilities of all words and the end of the text;
-    ``base_score`` is that of the add-one word frequencies.  Null and empty
+    Scores are log10 probabilities of all words and the end of the text:
+    ``base_score`` by the add-one word frequencies, ``network_score`` by the
+    network alone, ``score`` by the network and the memory.  Null and empty
     texts are one end token.  Repeated rows are scored each; an empty table
     gives no rows.  Other columns are not used.
 
-    Counts of frequent words are looked up in the task.  Occurrences of other
-    words are joined with the distributed counts and summed for each row.
+    Counts of frequent words and phrases are looked up in the task.  Other
+    occurrences are joined with the distributed counts and summed for each row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     training = _is_training(F.col("doc_id")) if training is None else training
-    model, counts = fit_text_model(rows, training, folder)
+    model, looked_up, scratch = fit_text_model(rows, training, folder)
     sent = share(docs.sparkSession, model)
     base = float(model.n + model.v + 1)
+    g = model.copies
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: TextModel = shared(sent)
-        table = WordTable(m.folder, dict(zip(*m.frequent, strict=True)))
+        table, hasher = WordTable(m.folder, dict(zip(*m.words, strict=True))), WordHasher()
         for batch in batches:
-            out, numbered, held = [], [], 0
+            out = []
             texts = batch["text"].array
-
-            def flush(numbered: list, out: list) -> None:
-                for numbers, lp in zip(numbered, word_log_probs(m.network, m.classes, table, numbered), strict=True):
-                    c = table.arrays()[2][numbers]
+            for numbered in _gathered(iter(texts), table):
+                names, counts = table.names, table.arrays()[2]
+                for numbers, lp in zip(numbered, word_log_probs(m.params, m.units, table, numbered), strict=True):
+                    text, held = texts[len(out)], batch["held_out"].iat[len(out)]
+                    c = counts[numbers]
                     sure = c >= 0
-                    p = (c[sure] + 1.0) / base
-                    mixed = m.weight * p + (1.0 - m.weight) * np.exp(lp[sure])
-                    names = table.names
-                    out.append((len(numbers), int((c > 0).sum()), float(np.log10(p).sum()), float(np.log10(mixed).sum()), [names[i] for i in numbers[~sure].tolist()], lp[~sure].astype(np.float32)))
-
-            for text in texts:
-                if len(table.names) > table.LIMIT:
-                    flush(numbered, out) if numbered else None
-                    numbered, held = [], 0
-                    table.clear()
-                numbered.append(table.number(words_of(None if text is pd.NA else text)))
-                held += len(numbered[-1])
-                if held >= BATCH_WORDS:
-                    flush(numbered, out)
-                    numbered, held = [], 0
-            if numbered:
-                flush(numbered, out)
-            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "mixed", "words", "lps"])
+                    keys = [names[i] for i in numbers[~sure].tolist()]
+                    lps, gain = [None] * len(keys), 0.0
+                    starts, context, phrase = phrases(hasher(None if text is pd.NA else text))
+                    if len(starts):
+                        sums = np.add.reduceat(lp, starts).tolist()
+                        for a, b, s in zip(context.tolist(), phrase.tolist(), sums, strict=True):
+                            if (a, b) in m.phrases:
+                                times, of = m.phrases[a, b]
+                                gain += memory_gain(times, of, s, m.copies, not held)
+                            else:
+                                keys.append(phrase_key(a, b))
+                                lps.append(s)
+                    network = float(lp.sum()) / np.log(10)
+                    out.append((len(numbers), int((c > 0).sum()), float(np.log10((c[sure] + 1.0) / base).sum()), network, network + gain, keys, lps))
+            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "network", "score", "keys", "lps"])
             frame.insert(0, "held_out", batch["held_out"].to_numpy())
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield frame
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, mixed double, words array<string>, lps array<float>"
-    scored = rows.withColumn("held_out", ~training).mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id())
-    rest = scored.withColumn("x", F.explode_outer(F.arrays_zip("words", "lps"))).select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", F.coalesce(F.col("x.words"), F.concat(F.lit(END), F.col("row").cast("string"))).alias("word"), F.col("x.lps").alias("lp"))  # a key of its own where a row has no such word
-    joined = rest.join(counts, "word", "left")
-    p = (F.coalesce("c", F.lit(0)) + 1.0) / base
-    mixed = F.lit(model.weight) * p + F.lit(1.0 - model.weight) * F.exp(F.col("lp").cast("double"))
-    each = joined.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", F.when(F.col("lp").isNotNull() & F.col("c").isNotNull(), 1).otherwise(0).alias("known"), F.when(F.col("lp").isNotNull(), F.log10(p)).otherwise(0.0).alias("b"), F.when(F.col("lp").isNotNull(), F.log10(mixed)).otherwise(0.0).alias("s"))
-    total = each.groupBy("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed").agg(F.sum("known").alias("known"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    return total.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.col("b")).alias("base_score"), (F.col("mixed") + F.col("s")).alias("score"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, network double, score double, keys array<string>, lps array<float>"
+    scored = materialize(rows.withColumn("held_out", ~training).mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    items = scored.select("row", F.col("held_out").alias("held"), F.explode(F.arrays_zip("keys", "lps")).alias("x")).select("row", "held", F.col("x.keys").alias("word"), F.col("x.lps").alias("lp"))
+    joined = items.join(looked_up, "word", "left")
+    is_word = F.col("lp").isNull()
+    c, own = F.coalesce("c", F.lit(0)), F.when(F.col("held"), 0).otherwise(1)
+    copied = F.when(F.col("c") > own, F.ln(F.lit(g) * (F.col("c") - own) / (F.col("of") - own)) - F.col("lp").cast("double"))
+    alone = float(np.log1p(-g))
+    # log of the sum of both ways to the phrase, over the network's way
+    gain = F.when(copied.isNull(), alone).otherwise(F.greatest(copied, F.lit(alone)) + F.log1p(F.exp(-F.abs(copied - alone)))) / float(np.log(10))
+    each = joined.select(
+        "row",
+        F.when(is_word, F.log10((c + 1.0) / base)).otherwise(0.0).alias("b"),
+        F.when(is_word & F.col("c").isNotNull(), 1).otherwise(0).alias("known"),
+        F.when(is_word, 0.0).otherwise(gain).alias("gain"),
+    )
+    sums = each.groupBy("row").agg(F.sum("b").alias("b"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
+    total = scored.drop("keys", "lps").join(sums, "row", "left")
+    whole = lambda a, b, name: (F.col(a) + F.coalesce(b, F.lit(0))).alias(name)
+    done = total.select("doc_id", "held_out", "n_tokens", whole("n_known", "known", "n_known"), F.lit(model.n).cast("long").alias("train_tokens"), whole("base", "b", "base_score"), F.col("network").alias("network_score"), whole("score", "gain", "score"))
+    out = materialize(done, "scores")
+    discard(scored)
+    discard(scratch)
+    return out
+
+
+def memory_gain(times: int, of: int, lp: float, g: float, own: bool) -> float:
+    """What the memory adds to the log10 probability of a phrase that the network gives exp(``lp``); ``own`` takes one occurrence off."""
+    alone = np.log1p(-g)
+    if times <= own:
+        return float(alone / np.log(10))
+    return float(np.logaddexp(np.log(g * (times - own) / (of - own)) - lp, alone) / np.log(10))

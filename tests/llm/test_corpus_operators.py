@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.llm import decontaminate, media, neardup, packing, scoring, toxicity
+from fieldglass.llm import attention, decontaminate, media, neardup, packing, scoring, toxicity
 from fieldglass.llm.core import WordHasher, window_hashes
 from fieldglass.llm.graph import components
 from fieldglass.llm.queries import QUERIES
@@ -388,17 +388,74 @@ def test_base_scores_and_counts(spark, edges):
     assert scoring.score_texts(edges.limit(0)).count() == 0
 
 
-def test_words_beyond_the_frequent_ones(spark, docs, monkeypatch):
-    """With few words looked up in tasks, the joined counts give the same scores."""
-    monkeypatch.setattr(scoring, "STEPS", 5)
+def test_words_and_phrases_beyond_the_frequent_ones(spark, docs, monkeypatch):
+    """With few words and phrases looked up in tasks, the joined counts give the same scores."""
+    monkeypatch.setattr(scoring, "MOST_PASSES", 1)
     few = docs.where("doc_id < 60")
     whole = {r.doc_id: r for r in scoring.score_texts(few).collect()}
     monkeypatch.setattr(scoring, "FREQUENT_WORDS", 20)
+    monkeypatch.setattr(scoring, "FREQUENT_PHRASES", 0)
     for r in scoring.score_texts(few).collect():
         assert (r.n_known, r.n_tokens) == (whole[r.doc_id].n_known, whole[r.doc_id].n_tokens)
         assert r.base_score == pytest.approx(whole[r.doc_id].base_score) and r.score == pytest.approx(whole[r.doc_id].score, rel=1e-4)
 
 
+def phrases_by_hand(text):
+    """(context words, phrase words) by a loop; only the choice of cuts uses the hash."""
+    w = [x.decode() for x in words(text)]
+    hashes = WordHasher()(text)
+    out, begin = [], None
+    for i in range(scoring.CONTEXT, len(w) + 1):
+        cut = window_hashes(hashes[i - scoring.CONTEXT : i], scoring.CONTEXT)[0] % np.uint64(scoring.EVERY) == 0
+        if cut or begin is not None and i - begin == scoring.LONGEST:
+            begin = i
+            out.append((tuple(w[i - scoring.CONTEXT : i]), []))
+        if begin is not None:
+            out[-1][1].append(w[i] if i < len(w) else None)
+    return [(c, tuple(p)) for c, p in out]
+
+
+def test_scores_by_brute_force(spark):
+    """Network, memory and their sum, worked out document by document with the model's own parameters."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") * rng.randrange(3) for _ in range(rng.choice((2, 40, 400)))) for _ in range(40)]
+    rows = [(i, texts[i % 40]) for i in range(70)] + [(90, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = scoring._is_training(F.col("doc_id"))
+    got = {r.doc_id: r for r in scoring.score_texts(df).collect()}
+    model, looked_up, _ = scoring.fit_text_model(df, marked)
+    train = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    kept = Counter(p for _, t in train for p in phrases_by_hand(t))
+    contexts = Counter()
+    for (c, _), n in kept.items():
+        contexts[c] += n
+    assert len(kept) > 100 and model.copies == pytest.approx(min(0.5, sum(n for n in kept.values() if n > 1) / sum(kept.values())))
+    table = scoring.WordTable(None)
+    for d, t in rows:
+        lp = scoring.word_log_probs(model.params, model.units, table, [table.number(scoring.words_of(t))])[0]
+        assert got[d].network_score == pytest.approx(lp.sum() / np.log(10), rel=1e-5)
+        own = zlib.crc32(str(d).encode()) % 7 != 2
+        gain, at = 0.0, None
+        for c, p in reversed(phrases_by_hand(t)):
+            at = len(lp) - len(p) if at is None else at - len(p)
+            net, times = np.exp(lp[at : at + len(p)].sum()), kept[c, p] - own
+            copy = times / (contexts[c] - own) if times > 0 else 0
+            gain += np.log10(1 - model.copies + model.copies * copy / net)
+        assert got[d].score - got[d].network_score == pytest.approx(gain, rel=1e-4, abs=1e-4)
+    twice = [got[d].score / got[d].n_tokens for d in range(30) if len(rows[d][1].split()) == 400]
+    once = [got[d].score / got[d].n_tokens for d in range(30, 40) if len(rows[d][1].split()) == 400]
+    assert min(twice) > max(once) + 0.1
+
+
+def test_phrases_tile_what_follows_the_first_cut():
+    for n in (0, 2, 3, 40, 900):
+        text = " ".join(f"w{i % 301}" for i in range(n))
+        starts, context, phrase = scoring.phrases(WordHasher()(text))
+        by_hand = phrases_by_hand(text)
+        assert [n + 1 - sum(len(p) for _, p in by_hand[i:]) for i in range(len(by_hand))] == starts.tolist()
+        assert len(set(zip(context.tolist(), phrase.tolist(), strict=True))) == len(set(by_hand))
+
+
 def small_network(seed=0):
     rng = np.random.default_rng(seed)
     counts = np.zeros(scoring.VOCABULARY)
@@ -407,47 +464,69 @@ def small_network(seed=0):
     begins = np.zeros(scoring.VOCABULARY, bool)
     begins[used[:150]] = True
     begins[scoring.END_ID] = True
-    classes = scoring.Classes.build(counts, begins)
-    net = scoring.Network(np.sort(used[:200]), np.bincount(classes.of, counts, minlength=scoring.BEGIN_CLASSES + scoring.INNER_CLASSES), seed)
-    return net, classes, used, begins
+    units = attention.Units.build(counts, begins)
+    return attention.initial(units, seed), units, used, begins
 
 
-def test_attention_by_loops():
-    net, classes, used, begins = small_network()
+def test_attention_by_loops(monkeypatch):
+    monkeypatch.setattr(attention, "CHUNK", 3)
+    p, units, used, begins = small_network()
     rng = np.random.default_rng(1)
+    p["dist"] = rng.standard_normal(p["dist"].shape).astype(np.float32)
     streams = [rng.choice(used, n).astype(np.int64) for n in (1, 15, 16, 17, 70)]
-    source, target, follows, place = scoring.blocks_of(streams)
-    p, b = (x[place] for x in net.score(source, target, follows, classes))
+    blocks = attention.Blocks.cut(streams, units, scoring.END_ID)
+    lp, b = (x[blocks.place] for x in attention.score(p, units, blocks))
     at = 0
     for s in streams:
-        inputs = [scoring.END_ID, *s[:-1]]
+        inputs = [units.of[i] for i in [scoring.END_ID, *s[:-1]]]
+        x = np.array([p["emb"][u, : attention.DIM] + p["emb"][inputs[i - 1] if i else attention.UNITS, attention.DIM :] for i, u in enumerate(inputs)])
+        k, v = x @ p["keys"], x @ p["values"]
         for i, t in enumerate(s):
-            first = max(0, (i // scoring.BLOCK - 1) * scoring.BLOCK)
-            x = net.emb[net.row[inputs]]
-            q = x[i] @ net.wq
-            a = np.array([q @ (x[j] @ net.wk) / np.sqrt(scoring.DIM) + net.dist[i - j] for j in range(first, i + 1)])
+            first = max(0, (i // attention.BLOCK - 1) * attention.BLOCK)
+            a = np.array([k[i, : attention.KEY] @ k[j, attention.KEY :] / np.sqrt(attention.KEY) + p["dist"][i - j] for j in range(first, i + 1)])
             a = np.exp(a - a.max())
-            h = (a / a.sum()) @ (x[first : i + 1] @ net.wv)
-            z = x[i] @ net.direct + h @ net.mixed + net.bias
-            z = z - np.log(np.exp(z).sum())
-            assert p[at] == pytest.approx(z[classes.of[t]] + classes.log_share[t], abs=2e-4)
-            assert b[at] == pytest.approx(np.log(np.exp(z[: scoring.BEGIN_CLASSES]).sum()), abs=2e-4)
+            y = np.maximum(0, x[i] + (a / a.sum()) @ v[first : i + 1] + p["hidden0"])
+            top = np.exp(y @ p["top"] + p["top0"])
+            c, m = divmod(int(units.of[t]), attention.MEMBERS)
+            low = np.exp(y @ p["low"][c] + p["low0"][c])
+            assert lp[at] == pytest.approx(np.log(top[c] / top.sum()) + np.log(low[m] / low.sum()) + units.log_share[t], abs=2e-4)
+            assert b[at] == pytest.approx(np.log(top[: attention.BEGIN_CLASSES].sum() / top.sum()), abs=2e-4)
             at += 1
     # classes part ids that begin words from those that do not, and shares sum to 1
-    assert ((classes.of < scoring.BEGIN_CLASSES) == begins).all()
-    assert np.allclose(np.bincount(classes.of, np.exp(classes.log_share.astype(float))), 1, atol=1e-3)
+    assert ((units.of // attention.MEMBERS < attention.BEGIN_CLASSES) == begins).all()
+    shares = np.bincount(units.of, np.exp(units.log_share.astype(float)), minlength=attention.UNITS)
+    assert np.allclose(shares[np.unique(units.of)], 1, atol=1e-3)
+
+
+def test_gradients_by_differences():
+    p, units, used, _ = small_network(2)
+    rng = np.random.default_rng(4)
+    p = {n: v.astype(np.float64) for n, v in p.items()}
+    blocks = attention.Blocks.cut([rng.choice(used, n) for n in (3, 20, 50, 33)], units, scoring.END_ID)
+    for i, j in ((0, len(blocks.now)), (2, 6)):
+        g, _, n = attention.gradients(p, blocks, units, i, j)
+        for name in p:
+            at = np.argwhere(np.abs(g[name]) > 1e-6)
+            for place in at[rng.integers(0, len(at), 4)]:
+                ends = []
+                for step in (1e-5, -1e-5):
+                    q = {k: v.copy() for k, v in p.items()}
+                    q[name][tuple(place)] += step
+                    ends.append(attention.gradients(q, blocks, units, i, j)[1])
+                assert (ends[0] - ends[1]) / 2e-5 / n == pytest.approx(g[name][tuple(place)], rel=0.02, abs=1e-5)
+    assert np.array_equal(attention.pack(attention.unpack(attention.pack(p))), attention.pack(p))
 
 
 def test_training_lowers_the_loss():
-    net, classes, used, _ = small_network(3)
-    pattern = np.tile(used[:6], 400).astype(np.int64)
-    source, target, follows, place = scoring.blocks_of([pattern])
-    before = scoring.Network.score(net, source, target, follows, classes)[0][place].mean()
-    fresh, _, _, _ = small_network(3)
-    fresh.train(source, target, follows, classes, steps=120)
-    assert fresh.score(source, target, follows, classes)[0][place].mean() > before + 1.0
+    p, units, used, _ = small_network(3)
+    blocks = attention.Blocks.cut([np.tile(used[:6], 400).astype(np.int64)], units, scoring.END_ID)
+    trainer = attention.Trainer(p, units, batch=16)
+    for _ in range(12):
+        trainer.learn(blocks)
+    mean = lambda q: attention.score(q, units, blocks)[0][blocks.place].mean()
+    assert mean(trainer.params) > mean(p) + 1.0
 
 
 def test_score_beats_word_counts_on_held_out_documents(spark):
-    out = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
+    out = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("network_score")).first()
+    assert out[0] > out[1] and out[2] > out[1]
