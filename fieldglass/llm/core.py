@@ -31,11 +31,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local session gets a temporary folder; on a cluster
+    executors would write to their own disks, so there it is an error.
+    """
     global _own_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="fieldglass-")
         atexit.register(shutil.rmtree, _own_scratch, ignore_errors=True)

@@ -96,9 +96,9 @@ _BANK = mel_bank(RATE * UP / DOWN)
 
 
 def log_mel(samples: np.ndarray) -> np.ndarray:
-    """(frames, MELS) of natural logs; a text shorter than a frame gives one frame, padded with silence."""
-    if len(samples) < FRAME:
-        samples = np.concatenate((samples, np.zeros(FRAME - len(samples), np.float32)))
+    """(frames, MELS) of natural logs; the last frame is padded with silence, so every sample lies in one."""
+    hops = max(0, -(-(len(samples) - FRAME) // HOP))
+    samples = np.concatenate((samples, np.zeros(FRAME + hops * HOP - len(samples), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for i in range(0, len(frames), 1024):
@@ -125,11 +125,12 @@ def active_spans(energy: np.ndarray) -> list[tuple[int, int]]:
 def features(payload: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float]]]:
     """Blocks (n, BLOCK_FRAMES, MELS), their time spans (n, 2) in seconds, and the active spans in seconds.
 
-    The last block is padded with the lowest value.  Payloads of more than
+    The last block is padded with the lowest value.  Silence after the payload
+    lets its last samples pass the whole filter.  Payloads of more than
     ``PIECE`` samples are resampled in pieces; each takes the last inputs of
     the one before, so the result is that of the whole.
     """
-    x = np.frombuffer(payload, dtype=np.uint8)
+    x = np.frombuffer(payload + b"\x80" * (TAPS - 1), dtype=np.uint8)
     level = lambda a, b: (x[a:b].astype(np.float32) - 128.0) / 128.0
     small = [resample(level(i, i + PIECE), level(i - TAPS + 1, i) if i else None) for i in range(0, len(x), PIECE)]
     mel = log_mel(np.concatenate(small) if len(small) > 1 else small[0])
@@ -172,7 +173,7 @@ def audio_columns(docs: DataFrame, text: str = "text", out: str = "audio") -> Da
                 data = (t or "").encode("utf-8", "surrogatepass")
                 media = write_wav(pad(data))
                 blocks, spans, active = features(*read_wav(media))
-                held = [{"begin": a, "end": b, "mel": m} for (a, b), m in zip(spans.tolist(), blocks.reshape(len(blocks), -1).tolist(), strict=True)]
+                held = [{"begin": a, "end": b, "mel": m} for (a, b), m in zip(spans.tolist(), blocks.reshape(len(blocks), -1), strict=True)]
                 rows.append((media, len(data), held, [{"begin": a, "end": b} for a, b in active]))
             yield pd.DataFrame(rows, columns=["media", "n_bytes", "blocks", "active"])
 
@@ -182,28 +183,27 @@ def audio_columns(docs: DataFrame, text: str = "text", out: str = "audio") -> Da
 _DIGEST = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
 
 
-def audio_digest(docs: DataFrame, text: str = "text", out: str = "digest") -> DataFrame:
-    """Add struct ``out`` with sums of the stored form, of the bytes read back from it, and of the features.
+def audio_digest(docs: DataFrame, audio: str = "audio", out: str = "digest") -> DataFrame:
+    """Add struct ``out`` with sums of what :func:`audio_columns` stored under ``audio``, and of the bytes read back from the media.
 
     ``feature`` names the tensors' shape, a digest of their values rounded to
-    1/64, their mean for each third of the mel bands, and the active spans'
-    number and total seconds.  The media never leave the task.
+    1/64, their mean for each third of the mel bands, the end of the last
+    block, and the active spans' number and total seconds.
     """
 
     @F.pandas_udf(_DIGEST)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stored in batches:
             rows = []
-            for t in texts:
-                data = (t or "").encode("utf-8", "surrogatepass")
-                media = write_wav(pad(data))
-                payload, rate = read_wav(media)
-                blocks, spans, active = features(payload, rate)
+            for media, n, held, active in zip(stored["media"], stored["n_bytes"], stored["blocks"], stored["active"], strict=True):
+                media = bytes(media)
+                payload, _ = read_wav(media)
+                blocks = np.stack([np.asarray(b["mel"], np.float32) for b in held]).reshape(-1, BLOCK_FRAMES, MELS)
                 tensors = np.round(blocks * 64).astype("<i2")
                 thirds = ",".join(f"{blocks[:, :, i : i + MELS // 3].mean():.3f}" for i in range(0, MELS, MELS // 3))
-                length = sum(b - a for a, b in active)
-                feature = f"{len(blocks)}x{BLOCK_FRAMES}x{MELS};{hashlib.sha256(tensors.tobytes()).hexdigest()[:16]};{thirds};{spans[-1, 1]:.4f};{len(active)};{length:.4f}"
-                rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                length = sum(a["end"] - a["begin"] for a in active)
+                feature = f"{len(blocks)}x{BLOCK_FRAMES}x{MELS};{hashlib.sha256(tensors.tobytes()).hexdigest()[:16]};{thirds};{held[-1]['end']:.4f};{len(active)};{length:.4f}"
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.withColumn(out, run(F.col(text)))
+    return docs.withColumn(out, run(F.col(audio)))

@@ -22,7 +22,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as 8-bit audio, read back and turned into log-mel features."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.audio_digest(docs).select("doc_id", "digest.*")
+    return media.audio_digest(media.audio_columns(docs)).select("doc_id", "digest.*")
 
 
 #: The rules of the URL contract.

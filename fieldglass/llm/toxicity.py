@@ -182,10 +182,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
     The sample is, for each label, the ``per_label`` labelled rows whose
     doc_id hashes lowest; ``usable`` (a condition on doc_id) restricts it.
-    Rows with a null label or doc_id are not used.  Without rows of both
-    labels the model scores every text near 0.02.
+    Rows with a null doc_id, or a label other than 0 and 1, are not used.  Of
+    repeated labels of a doc_id the highest counts, of repeated documents the
+    text that sorts first.  Without rows of both labels the model scores every
+    text near 0.02.
     """
-    known = labels.select("doc_id", F.col(label).alias("_label")).where(F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     if usable is not None:
         known = known.where(usable)
     toxic, n = known.agg(F.sum((F.col("_label") == 1).cast("double")), F.count(F.lit(1))).first()
@@ -193,9 +195,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
         return ToxicityModel({}, -4.0, -4.0)
     chosen = [lowest_hashed(known.where(F.col("_label") == y), "doc_id", per_label, size) for y, size in ((0, n - int(toxic)), (1, int(toxic)))]
     ids = chosen[0].unionByName(chosen[1])
-    # at most 2 * per_label ids; a repeated one gives one row
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "_label").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    # at most 2 * per_label ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     if len({r._label for r in rows}) < 2:
         return ToxicityModel({}, -4.0, -4.0)
     return fit([r.text for r in rows], [int(r._label) for r in rows], toxic / n)

@@ -149,7 +149,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url") ->
     model on the empty string.  Repeated rows stay repeated; an empty table
     gives an empty table.
     """
-    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "mean_ratio", "verdict", "_symbols", "_label", "_row", "gram", "ratio")]
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "mean_ratio", "verdict")]
     parts = pages.select(F.struct(*own).alias("_page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = parts.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     lettered = ruled.withColumn("_symbols", symbols(F.col("host"), F.col("path")))

@@ -250,7 +250,7 @@ def test_noisy_or_and_gradient_shape():
 
 
 def test_audio_round_trip(spark, edges):
-    out = media.audio_digest(edges.withColumn("digest", F.lit(0))).select("text", "digest.*").collect()
+    out = media.audio_digest(media.audio_columns(edges.withColumn("digest", F.lit(0)))).select("text", "digest.*").collect()
     assert len(out) == len(edge_rows())
     for r in out:
         data = (r.text or "").encode()
@@ -260,7 +260,7 @@ def test_audio_round_trip(spark, edges):
     by_text = {}
     for r in out:
         assert by_text.setdefault(r.text or "", r.feature) == r.feature
-    assert media.audio_digest(edges.limit(0)).count() == 0
+    assert media.audio_digest(media.audio_columns(edges.limit(0))).count() == 0
 
 
 def test_audio_columns_are_fixed_shape_tensors(spark):
@@ -294,6 +294,13 @@ def test_resampling_and_spans():
     assert media.active_spans(np.zeros(5)) == [] and media.active_spans(np.array([])) == []
 
 
+def test_every_byte_reaches_the_features():
+    data = bytes(np.random.default_rng(6).integers(0, 256, 576).astype(np.uint8))
+    for at in (0, 100, 300, 511, 540, 575):
+        changed = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+        assert not np.array_equal(media.features(data, media.RATE)[0], media.features(changed, media.RATE)[0]), at
+
+
 def test_pieces_of_a_long_text_are_resampled_as_one(monkeypatch):
     payload = np.random.default_rng(5).integers(0, 256, 2 * media.PIECE + 1_000).astype(np.uint8).tobytes()
     pieces, spans, active = media.features(payload, media.RATE)

@@ -66,7 +66,7 @@ def test_pipeline_on_an_empty_table(spark):
 
 
 def test_pipeline_keeps_nulls_and_one_of_each_group(spark):
-    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c d e f g", "en", "s", 13), (4, "a b c d e f g", "de", "t", 13), (4, "a b c d e f g", "de", "t", 13)]
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a b c d e f g", "en", "s", 13), (4, "a b c d e f g", "de", "t", 13), (4, "a b c d e f g", "de", "t", 13), (5, "h i j k l m n", "de", "t", 13), (5, "h i j k l m n", "de", "t", 13)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, df, SF)
-    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 5]
