@@ -67,6 +67,23 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hot_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, _slices): keys with more rows than a fair share of the n rows, and into how many slices they are dealt.
+
+    There are under 2,000 of them, so they may be broadcast.
+    """
+    most = max(256, n // 2_000)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_slices"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key); rows of a hot key are dealt into slices by column ``spread``, and its table row is copied to each."""
+    slices = F.coalesce(F.col("_slices"), F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_slice", F.pmod(F.xxhash64(spread), slices).cast("int")).drop("_slices")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    return left.join(right, [key, "_slice"]).drop("_slice")
+
+
 def lowest_hashed(rows: DataFrame, key: str, k: int, n: int) -> DataFrame:
     """The k of n rows whose ``key`` hashes lowest.
 

@@ -8,9 +8,9 @@ so no run is missed.  A document's seed hashes are joined with the benchmark's,
 is verified: along its diagonal, some run of ``RUN`` aligned tokens (the whole
 item, if shorter) must agree in at least ``SHARE`` of them.
 
-The benchmark is a stated query set.  It is broadcast in blocks of at most
-``BLOCK_TOKENS`` tokens, one pass over the documents for each block, so what a
-task holds is bounded whatever the benchmark's size.
+The benchmark is a stated query set.  It is sent to the executors in blocks of
+at most ``BLOCK_TOKENS`` tokens; a task searches each batch of texts for one
+block after another and holds one block's index at a time.
 """
 
 from __future__ import annotations
@@ -155,29 +155,33 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """Add array ``out`` of struct(item, doc_start, item_start, matched, aligned), one for each benchmark item found.
 
     Places count words from 0.  A narrow map: documents are not shuffled.
-    Null and empty texts, on either side, have no overlaps; an empty benchmark
+    An existing column ``out`` is replaced.  Null and empty texts, on either
+    side, have no overlaps; an empty benchmark
     gives empty arrays.  Repeated items are reported each under its own id.
     """
     kind = benchmark.schema[item].dataType.simpleString()
-    result = None
-    for block in _blocks(benchmark, item, "text", block_tokens):
-        hits = _searcher(share(docs.sparkSession, block), kind)(F.col(text))
-        result = hits if result is None else F.concat(result, hits)
-    if result is None:
-        result = F.array().cast(_HIT.format(kind))
-    return docs.withColumn(out, result)
+    blocks = [share(docs.sparkSession, (ids, SeedIndex.build(words))) for ids, words in _blocks(benchmark, item, "text", block_tokens)]
+    if not blocks:
+        return docs.withColumn(out, F.array().cast(_HIT.format(kind)))
+    return docs.withColumn(out, _searcher(blocks, kind)(F.col(text)))
 
 
-def _searcher(sent: Broadcast, kind: str):
-    """The pandas UDF that searches texts for the block of items in ``sent``."""
+def _searcher(blocks: list[Broadcast], kind: str):
+    """The pandas UDF that searches texts for the items of all blocks; said not to be deterministic, so that no filter on its result runs it twice."""
     fields = ("item", "doc_start", "item_start", "matched", "aligned")
 
     @F.pandas_udf(_HIT.format(kind))
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, words = shared(sent)
-        hasher, index = WordHasher(), SeedIndex.build(words)
+        hasher, held = WordHasher(), None
         for texts in batches:
-            found = [index.find(hasher(t)) for t in texts]
-            yield pd.Series([[dict(zip(fields, (ids[f[0]], *f[1:]), strict=True)) for f in fs] for fs in found])
-
-    return search
+            found: list[list[dict]] = [[] for _ in texts]
+            for block in blocks:
+                if held is None or len(blocks) > 1:
+                    held = None  # let go of the one before first
+                    held = shared(block)
+                ids, index = held
+                for out, text in zip(found, texts, strict=True):
+                    out += [dict(zip(fields, (ids[f[0]], *f[1:]), strict=True)) for f in index.find(hasher(text))]
+            yield pd.Series(found)
+
+    return search.asNondeterministic()

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import discard, materialize
+from .core import discard, hot_keys, materialize, salted_join
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node around it."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Link every larger neighbour of a node to the smallest node around it; the edges of a hub, of n edges, are dealt over tasks."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    larger = both.where("v > u")
+    return salted_join(larger, least, "u", "v", hot_keys(larger, "u", n)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,19 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long); a component is named by its smallest node.
 
     Rounds end when the edges stop changing; each is written to the shared
-    folder.  Only two sums a round reach the driver.  Loops, repeated edges
+    folder.  Only two numbers a round reach the driver.  Loops, repeated edges
     and nulls are ignored; no edges give no rows.
     """
     ordered = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, mark = materialize(ordered, "edges"), None
+    n = now.count()
     for _ in range(MAX_ROUNDS):
-        after = materialize(_small_star(_large_star(now)), "edges")
+        after = materialize(_small_star(_large_star(now, n)), "edges")
         discard(now)
         now = after
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, n = seen, seen[0]
     else:
         raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v"), F.col("v")).distinct())

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import WordHasher, discard, materialize, mix64, window_hashes
+from .core import WordHasher, discard, hot_keys, materialize, mix64, salted_join, window_hashes
 from .graph import components
 
 BANDS, ROWS = 36, 5
@@ -164,18 +164,27 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """The pairs (u, v) whose full sets have at least ``percent`` per cent of their union in common."""
     nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v"))).distinct()
     sets = materialize(_sets(docs, nodes, size), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+    # the side with more pairs is joined last: its set meets them without being copied into them
+    degree = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v"))
+    n = pairs.count()
+    hubs = materialize(hot_keys(degree, "node", n), "hubs")
+    wide = F.broadcast(hubs.select(F.col("node").alias("u"), F.lit(True).alias("hub")))
+    turned = pairs.join(wide, "u", "left").select(F.when(F.col("hub"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("hub"), F.col("u")).otherwise(F.col("v")).alias("y"))
+    left = salted_join(turned, sets.select(F.col("node").alias("x"), F.col("items").alias("a")), "x", "y", hubs.withColumnRenamed("node", "x"))
+    both = salted_join(left, sets.select(F.col("node").alias("y"), F.col("items").alias("b")), "y", "x", hubs.withColumnRenamed("node", "y"))
     common = F.size(F.array_intersect("a", "b"))
-    kept = both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
+    kept = both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     edges = materialize(kept, "links")
     discard(sets)
+    discard(hubs)
     return edges
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose odd sketches allow the threshold."""
-    return pairs.join(_side(classes, "u", "a"), "u").join(_side(classes, "v", "b"), "v").where(similar_enough("a", "b", percent)).select("u", "v")
+    n = pairs.count()
+    with_u = salted_join(pairs, _side(classes, "u", "a"), "u", "v", hot_keys(pairs, "u", n))
+    return salted_join(with_u, _side(classes, "v", "b"), "v", "u", hot_keys(pairs, "v", n)).where(similar_enough("a", "b", percent)).select("u", "v")
 
 
 def _leftover(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +229,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     heads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("head"))
-    star = members.join(heads, "bucket").where("node != head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
+    wide = hot_keys(members, "bucket", members.count())
+    star = salted_join(members, heads, "bucket", "node", wide).where("node != head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
+    star = materialize(star, "stars")
     first = materialize(_promising(star, classes, percent), "pairs")
     links = _confirm(first, docs, size, percent)
     labels = materialize(components(links), "labels")
@@ -232,7 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     repeated = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select(F.col("doc_id").alias("u"))
     shared = shared.join(repeated, "u", "left_semi").select("u", "v")
     final = materialize(components(links.unionByName(more).unionByName(shared)), "labels")
-    for df in (first, second, members, classes, labels):
+    for df in (first, second, members, classes, labels, star, links, more):
         discard(df)
 
     owner = named.join(final, "node", "left").select("digest", "check", F.coalesce("component", "node").alias("component_id"))

@@ -3,10 +3,13 @@
 1. Texts become token ids with an end id.  Whole windows are cut off a
    document's start and need no partner; what is left is its tail.
 2. Document frequencies of ids are counted over all tails.
-3. Tails are dealt evenly into shards of about ``SHARD_DOCS``.  Each shard
-   builds a BM25 inverted index of its tails.  The longest unused tail seeds a
-   window, its best unused neighbours fill it, and the neighbour that no
-   longer fits is cut; its rest stays in the shard.
+3. Tails are dealt into shards of about ``SHARD_DOCS`` by a hash of the
+   document, so every run gives the same rows.  Each shard builds a BM25
+   inverted index of its tails, asked with all terms of a seed.  The longest
+   unused tail seeds a window, its unused neighbours fill it, best first and as
+   far down the ranking as there is room, and the neighbour that no longer fits
+   is cut; its rest stays in the shard.  Tails without a term in common with
+   the seed come last.
 4. What remains at a shard's end is cut at powers of two, so nothing is padded.
 """
 
@@ -27,10 +30,12 @@ WINDOW = 1024
 END_ID = 0
 SHARD_DOCS = 2_048
 VOCABULARY = 50_257
-#: BM25's saturation and length weight, terms taken from a seed, and neighbours looked at for each window.
+#: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 12
-NEIGHBOURS = 48
+#: Terms with more postings than this in a shard are scored for all seeds at once, so many terms in a product of matrices.
+DENSE, DENSE_TERMS = 24, 512
+#: Neighbours that are ranked at first; the ranking goes on where they do not fill a window.
+FIRST = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,7 +60,7 @@ def _tokenized(docs: DataFrame, folder: str | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "doc_tokens": sizes, "whole": sums, "tail": tails})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, doc_tokens long, whole array<long>, tail binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInPandas(run, "doc_id long, doc_tokens long, whole array<long>, tail binary")
 
 
 def _document_frequencies(tokenized: DataFrame) -> np.ndarray:
@@ -89,26 +94,36 @@ class ShardIndex:
         doc, term, tf = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (docs, terms, counts))
         lengths = np.array([len(t) for t in tails], dtype=float)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
-        # a seed's terms, heaviest first
-        order = np.lexsort((-weight, doc))
-        first = np.searchsorted(doc[order], np.arange(len(tails) + 1))
-        self.queries = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(first[:-1], first[1:], strict=True)]
         by = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by], weight[by]
+        self.doc, self.weight = doc[by], weight[by].astype(np.float32)
         self.first = np.searchsorted(term[by], np.arange(VOCABULARY + 1))
         self.size = len(tails)
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused tails that share terms with the seed, best first; ties go to the earlier."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
-        if not spans:
-            return np.empty(0, dtype=np.int64)
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.size)
-        scores[~unused] = 0.0
-        some = np.flatnonzero(scores)
-        if len(some) > NEIGHBOURS:
-            some = some[np.argpartition(-scores[some], NEIGHBOURS)[:NEIGHBOURS]]
-        return some[np.lexsort((some, -scores[some]))]
+        spread = np.diff(self.first)
+        self.scores = np.zeros((self.size, self.size), np.float32)  # seed by neighbour, of the dense terms
+        dense = np.flatnonzero(spread > DENSE)
+        for i in range(0, len(dense), DENSE_TERMS):
+            part = dense[i : i + DENSE_TERMS]
+            column = np.repeat(np.arange(len(part)), spread[part])
+            at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in part])
+            weights = np.zeros((self.size, len(part)), np.float32)
+            weights[self.doc[at], column] = self.weight[at]
+            self.scores += (weights > 0).astype(np.float32) @ weights.T
+        sparse = np.flatnonzero(spread[term] <= DENSE)
+        self.queries = np.split(term[sparse], np.searchsorted(doc[sparse], np.arange(1, self.size)))
+
+    def ranking(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused tails that share terms with the seed, best first; ties go to the earlier."""
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed].tolist()]
+        scores = self.scores[seed]
+        if spans:
+            scores = scores + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.size)
+        some = np.flatnonzero((scores > 0) & unused)
+        if len(some) > FIRST:
+            least = np.partition(scores[some], -FIRST)[-FIRST]
+            best = some[scores[some] >= least]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            some = some[scores[some] < least]
+        yield from some[np.lexsort((some, -scores[some]))].tolist()
 
 
 def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[list[tuple[int, int, int]]]:
@@ -135,12 +150,18 @@ def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -
             return n
 
         room -= take(seed, room)
-        near = index.neighbours(seed, unused)
-        for i in near.tolist():  # whole ones first
-            if room and lengths[i] - begin[i] <= room:
-                room -= take(i, room)
-        for i in near.tolist():
-            if room and unused[i]:
+        passed = []
+        for i in index.ranking(seed, unused):
+            if lengths[i] - begin[i] > room:  # whole ones first
+                passed.append(i)
+                if len(passed) < FIRST:
+                    continue
+                break
+            room -= take(i, room)
+            if not room:
+                break
+        for i in passed:
+            if room:
                 room -= take(i, room)
         back = len(by_length) - 1
         while room:  # no neighbour is left: the shortest others
@@ -186,7 +207,7 @@ def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
     shards = max(1, -(-n // SHARD_DOCS))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
+        rows = rows.sort_values(["doc_id", "doc_tokens", "tail"])  # rows equal in all three differ in their whole windows at most
         tails = [np.frombuffer(t, dtype=np.uint16) for t in rows["tail"]]
         doc_ids, sizes = rows["doc_id"].tolist(), rows["doc_tokens"].tolist()
         base, out = int(key[0]) << 32, []
@@ -204,5 +225,5 @@ def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    dealt = tokenized.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    dealt = tokenized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "whole", "tail"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, PIECES)
