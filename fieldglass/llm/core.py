@@ -67,6 +67,12 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (stem + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def hot_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
     """(key, _slices): keys with more rows than a fair share of the n rows, and into how many slices they are dealt.
 

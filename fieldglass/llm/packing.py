@@ -33,7 +33,7 @@ VOCABULARY = 50_257
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 #: Terms with more postings than this in a shard are scored for all seeds at once, so many terms in a product of matrices.
-DENSE, DENSE_TERMS = 24, 512
+DENSE, DENSE_TERMS = 64, 512
 #: Neighbours that are ranked at first; the ranking goes on where they do not fill a window.
 FIRST = 64
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import free_name
+
 #: Rows for which a slot is counted in one piece; the number of pieces follows the table.
 ROWS_PER_PIECE = 20_000
 #: Pieces a shard is counted in at most, so the table of offsets stays small enough to broadcast.
@@ -39,11 +41,6 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return best["shard"].cast("int")
 
 
-def _free(df: DataFrame, stem: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    return next(n for n in (stem + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken)
-
-
 def shard_records(records: DataFrame, key: str, weights: Sequence[float], shard: str = "shard", grown: str | None = None) -> DataFrame:
     """Add the shard of each record, and under ``grown`` the one it would have with one more shard of mean weight.
 
@@ -70,7 +67,7 @@ def add_slots(sharded: DataFrame, shard: str, order: Sequence[str], slot: str =
     ranked as a whole, so no task holds a shard.  Rows equal in all order
     columns are numbered in any order.
     """
-    piece, rank, before, size = (_free(sharded, n) for n in ("_piece", "_rank", "_before", "_size"))
+    piece, rank, before, size = (free_name(sharded, n) for n in ("_piece", "_rank", "_before", "_size"))
     shards = sharded.agg(F.count(F.lit(1)), F.max(shard)).first()
     pieces = min(MAX_PIECES, max(1, -(-shards[0] // (ROWS_PER_PIECE * (1 + (shards[1] or 0))))))
     cut = sharded.withColumn(piece, F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))

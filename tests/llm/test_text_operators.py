@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -123,6 +125,38 @@ TEXTS = [
 ]
 
 
+def linked_by_hand(text, scope=secrets.SCOPE):
+    """All spans by nested loops."""
+    pattern = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "ident": secrets.IDENT, "endpoint": secrets.ENDPOINT, "opaque": secrets.OPAQUE}
+    fits = {"assign": lambda m: len(m[2]) >= 8, "access": lambda m: len(m[0]) >= 16, "opaque": lambda m: all(re.search(h, m[0]) for h in secrets.OPAQUE_HAS)}
+    spans = [(k, m.start(), m.end()) for k, p in pattern.items() for m in re.finditer(p, text, re.A) if fits.get(k, lambda m: True)(m)]
+    base = [x for x in spans if x[0] in ("assign", "access", "hex")]
+    held = [x for x in spans if x[0] != "opaque" or not any(x[1] < b[2] and b[1] < x[2] for b in base)]
+    hidden = [x for x in held if x[0] in ("assign", "hex", "opaque")]
+    others = [x for x in held if x[0] in ("ident", "access", "endpoint")]
+    near = lambda a, bs: any(b[1] <= a[2] + scope and a[1] <= b[2] + scope for b in bs)
+    kept = [x for x in held if x in base or near(x, others if x[0] == "opaque" else hidden)]
+    return sorted(kept, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_linking_by_brute_force_and_in_long_rows(spark):
+    rng = random.Random(8)
+    parts = ["https://host.example/x", "user_id=bob42", "Zx9" + "aB3" * 8, "password: hunter2hunter2", "AKIA" + "Q7" * 8, "0af9" * 9, "plain words here", "token=Zx9aB3Zx9aB3Zx9aB3Zx9aB3"]
+    texts = [" ".join(rng.choice(parts) + " " * rng.choice((1, 5, 90, 210, 400)) for _ in range(rng.choice((1, 3, 20, 150)))) for _ in range(60)]
+    texts.append("https://host.example/x " * 20_000 + "key_id: abc " * 20_000 + "Zx9" + "aB3" * 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("mine")).repartition(4)
+    began = time.perf_counter()
+    out = secrets.scan_secrets(df).collect()
+    assert time.perf_counter() - began < 60
+    for r in out:
+        assert r.spans == "mine"
+        got = [(s.kind, s.start, s.end) for s in r.secrets]
+        if r.doc_id < 60:
+            assert got == linked_by_hand(r.text)
+        else:
+            assert len(got) == 1 + 17 and got[-1][0] == "opaque"  # an identifier every 12 code points, the last one 1 away
+
+
 def test_secrets_by_brute_force(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "again")], "doc_id long, text string, secrets string")
     out = secrets.scan_secrets(df).collect()
