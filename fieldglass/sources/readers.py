@@ -33,17 +33,33 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     """The table with :data:`ROW_ID`; the first ``limit`` rows in source order.
 
     CSV columns stay text; ragged rows are an error when read.  Parquet keeps
-    its types, and without a limit or a use of the ids the scan stays pruned.
+    its types, and without a use of the ids the scan stays pruned.  With a
+    limit, only the first files that hold so many rows are read.
     """
     check_limit(limit)
     if suffix_of(path) == "csv":
         raw = spark.read.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
         out = number_rows(raw)
     else:
-        out = number_parquet_rows(spark.read.parquet(path))
+        out = number_parquet_rows(spark.read.parquet(path) if limit is None else _first_files(spark, path, limit))
     return out if limit is None else out.where(F.col(ROW_ID) < limit)
 
 
+def _first_files(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The table, of as many files in order of path as hold ``limit`` rows; rows are counted from the footers."""
+    whole = spark.read.parquet(path)
+    files = sorted(whole.inputFiles())
+    if len(files) < 2:
+        return whole
+    read = spark.read.schema(whole.schema).option("basePath", path)
+    rows = 0
+    for i, file in enumerate(files):
+        rows += read.parquet(file).count()
+        if rows >= limit:
+            return read.parquet(*files[: i + 1])
+    return whole
+
+
 def number_parquet_rows(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Dense ids in order of file path and row: the row's index in its file plus the rows of the files before.
 

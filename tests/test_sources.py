@@ -126,6 +126,16 @@ def test_synthetic_points(spark):
         assert abs(r.x - x) < 1e-4 and abs(r.y - y) < 1e-4
 
 
+def test_a_limit_reads_only_the_first_files(spark, tmp_path):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(0, 1_000, numPartitions=10).withColumnRenamed("id", "v").write.parquet(path)
+    for limit in (1, 100, 101, 5_000):
+        some = readers.read_table(spark, path, limit)
+        got = sorted((r.row_id, r.v) for r in some.collect())
+        assert got == sorted((r.row_id, r.v) for r in readers.read_table(spark, path).collect())[:limit]
+        assert len(some.inputFiles()) == min(10, -(-limit // 100))
+
+
 def test_synthetic_tables_plan_at_once_under_filters_bins_and_joins(spark):
     points, events = synthetic.synthetic_points(spark, 2_000), synthetic.synthetic_events(spark, 2_000)
     grid = fields.binned(points, F.col("x").cast("double"), F.col("y").cast("double"), (0.0, 100.0, 0.0, 100.0), 64, 64)
