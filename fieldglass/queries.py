@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import binning, encodings, hashing
+from .functions import axes, binning, encodings, hashing
 from .operators import catalog, category, comparison, contours, diff, fields, intervals, missingness, projection, reveal, ridges, selection
 from .operators.filters import CategorySet, Cohort, FilterSet, NumericRange, first_invalid, in_box, in_time_brush
 from .plans import evidence
@@ -123,9 +127,32 @@ def neighborhood_3x3(spark, d):
     return contours.neighbourhood(_grid(spark, d), W, H)
 
 
-@query()
+_AT = ", ".join(f"max(vb.v) FILTER (dx = {x} AND dy = {y}) {'lch'[y + 1]}{'lch'[x + 1]}" for y in (-1, 0, 1) for x in (-1, 0, 1))
+_SIDE = lambda nx, ny: "CASE WHEN {ny} < 0 THEN {l} + ({c} - {l}) * ({ny} + 1) ELSE {c} + ({h} - {c}) * {ny} END".format(
+    ny=ny, **{y: f"(CASE WHEN {nx} < 0 THEN {y}l + ({y}c - {y}l) * ({nx} + 1) ELSE {y}c + ({y}h - {y}c) * {nx} END)" for y in "lch"}
+)
+_RIDGES = (
+    _binned_sql()
+    + f', f AS (SELECT CAST(range % {W} AS INT) bx, CAST(range // {W} AS INT) "by", coalesce(n, 0)::DOUBLE v FROM range({W * H}) LEFT JOIN g ON g.bx = range % {W} AND g."by" = range // {W})'
+    + ", k AS (SELECT unnest([-2, -1, 0, 1, 2]) o, unnest([1, 4, 6, 4, 1])::DOUBLE / 16 k)"
+    + f', hb AS (SELECT c.bx, c."by", sum(k * f.v) v FROM f c, k, f WHERE f."by" = c."by" AND f.bx = greatest(0, least({W - 1}, c.bx + o)) GROUP BY 1, 2)'
+    + f', vb AS (SELECT c.bx, c."by", sum(k * hb.v) v FROM f c, k, hb WHERE hb.bx = c.bx AND hb."by" = greatest(0, least({H - 1}, c."by" + o)) GROUP BY 1, 2)'
+    + f', p AS (SELECT c.bx, c."by", {_AT} FROM f c, (SELECT unnest([-1, 0, 1]) dx) x, (SELECT unnest([-1, 0, 1]) dy) y, vb WHERE vb.bx = greatest(0, least({W - 1}, c.bx + dx)) AND vb."by" = greatest(0, least({H - 1}, c."by" + dy)) GROUP BY 1, 2)'
+    + f", s AS (SELECT 1::DOUBLE / {W - 1} sx, 1::DOUBLE / {H - 1} sy), h AS (SELECT p.*, (ch - cc * 2 + cl) / (sx * sx) xx, (hc - cc * 2 + lc) / (sy * sy) yy, (hh - hl - lh + ll) / (4 * sx * sy) xy FROM p, s)"
+    + ", m AS (SELECT *, (xx + yy) / 2 mean, sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy) root FROM h), ev AS (SELECT *, mean - root low, mean + root high FROM m)"
+    + ", l AS (SELECT *, CASE WHEN xy * xy + (low - xx) * (low - xx) >= (low - yy) * (low - yy) + xy * xy THEN xy ELSE low - yy END ax, CASE WHEN xy * xy + (low - xx) * (low - xx) >= (low - yy) * (low - yy) + xy * xy THEN low - xx ELSE xy END ay FROM ev)"
+    + ", u AS (SELECT *, ax / sqrt(ax * ax + ay * ay) nx, ay / sqrt(ax * ax + ay * ay) ny FROM l WHERE root > 1e-12 AND sqrt(ax * ax + ay * ay) > 1e-12)"
+    + f", z AS (SELECT *, {_SIDE('nx', 'ny')} plus, {_SIDE('(-nx)', '(-ny)')} minus FROM u)"
+    + ", r AS (SELECT *, -low AS raw FROM z WHERE low < 0 AND abs(high - low) > 1e-12 AND abs(high - low) / (abs(high) + abs(low) + 1e-12) >= 0.15 AND cc >= plus AND cc >= minus AND (cc > plus OR cc > minus))"
+    + ', t AS (SELECT bx, "by", raw / max(raw) OVER () AS strength, CASE WHEN -ny < 0 OR (ny = 0 AND nx < 0) THEN -1 ELSE 1 END AS sign, nx, ny FROM r)'
+    + ' SELECT bx, "by", round(strength::FLOAT::DOUBLE, 5) AS strength, round((-ny * sign)::FLOAT::DOUBLE, 5) + 0 AS tangent_x, round((nx * sign)::FLOAT::DOUBLE, 5) + 0 AS tangent_y FROM t WHERE strength >= 0.025'
+)
+
+
+@query(_RIDGES)
 def density_ridges(spark, d):
-    return ridges.density_ridges(_grid(spark, d), W, H)
+    out = ridges.density_ridges(_grid(spark, d), W, H)
+    return out.select("bx", "by", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in ("strength", "tangent_x", "tangent_y")])
 
 
 @query(_binned_sql() + f" SELECT bx, round(CASE WHEN bx + 1 = {W} THEN x1 ELSE x0 + (bx + 1) * (x1 - x0) / {W} END, 6) AS x_end, round(x0 + bx * (x1 - x0) / {W}, 6) AS x_begin, CAST(sum(n) AS BIGINT) n FROM g, e GROUP BY bx, x0, x1")
@@ -654,3 +681,194 @@ def synthetic_points(spark, d):
 @query()
 def synthetic_events(spark, d):
     return synthetic.synthetic_events(spark, 20_000)
+
+
+# -- the front door: kinds, row ids, limits, text files ------------------------------------------
+
+#: Kind of a DuckDB column type, over DESCRIBE.
+_KIND = "CASE WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'Integer' WHEN column_type IN ('FLOAT', 'DOUBLE') THEN 'Float' WHEN column_type = 'VARCHAR' THEN 'String' WHEN column_type = 'TIMESTAMP' THEN 'Timestamp' ELSE 'Unsupported' END"
+
+
+def _as_csv(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """The table as text files with a header in the shared folder; a local session may use its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="fieldglass-csv-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}.csv"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query(f"SELECT column_name AS \"column\", {_KIND} AS kind FROM (DESCRIBE events) UNION ALL SELECT column_name, {_KIND} FROM (DESCRIBE lineitem)")
+def parquet_schema(spark, d):
+    rows = [x for t in ("events", "lineitem") for x in readers.table_schema(spark, f"{d}/{t}.parquet")]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
+@query(f"SELECT column_name AS \"column\", {_KIND} AS kind FROM (DESCRIBE customer)")
+def csv_schema(spark, d):
+    path = _as_csv(spark, _t(spark, d, "customer"), "customer")
+    return spark.createDataFrame(readers.table_schema(spark, path), "column string, kind string")
+
+
+@query("SELECT count(*) AS rows, min(p_partkey)::DOUBLE AS x_min, max(p_partkey)::DOUBLE AS x_max, min(p_retailprice) AS y_min, max(p_retailprice) AS y_max, count(*) AS ids, count(*) - 1 AS last_id, round(sum(p_retailprice), 4) AS y_sum FROM part")
+def csv_scatter_binding(spark, d):
+    loaded = readers.load_scatter(spark, _as_csv(spark, _t(spark, d, "part"), "part"), "p_partkey", "p_retailprice")
+    found = loaded.rows.agg(F.count_distinct("row_id").alias("ids"), F.max("row_id").alias("last_id"), F.round(F.sum("py"), 4).alias("y_sum"))
+    ends = [F.lit(float(v)).alias(n) for n, v in zip(("x_min", "x_max", "y_min", "y_max"), (*loaded.x_range, *loaded.y_range), strict=True)]
+    return found.select(F.lit(loaded.count).cast("long").alias("rows"), *ends, "ids", "last_id", "y_sum")
+
+
+@query("SELECT event_type, count(*) AS n, min(user_id) AS first_time, max(user_id) AS last_time, (SELECT count(DISTINCT event_type) FROM events) AS lanes, sum(count(*)) OVER ()::BIGINT AS events FROM events GROUP BY event_type")
+def csv_timeline_binding(spark, d):
+    loaded = readers.load_timeline(spark, _as_csv(spark, _t(spark, d, "events").select("user_id", "event_type"), "events"), "user_id", "event_type")
+    label = F.element_at(F.array(*[F.lit(x) for x in loaded.labels]), F.col("lane") + 1)
+    groups = loaded.rows.groupBy(label.alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("long").alias("first_time"), F.max("ts").cast("long").alias("last_time"))
+    return groups.select("*", F.lit(len(loaded.labels)).cast("long").alias("lanes"), F.lit(loaded.count).cast("long").alias("events"))
+
+
+@query("SELECT least(count(*), 700) AS rows, 0::BIGINT AS first_id, least(count(*), 700) - 1 AS last_id FROM customer")
+def csv_row_limit(spark, d):
+    rows = readers.read_table(spark, _as_csv(spark, _t(spark, d, "customer"), "customer"), 700)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
+
+
+@query("SELECT o_orderkey AS row_id, o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000")
+def parquet_row_limit(spark, d):
+    return readers.read_table(spark, f"{d}/orders.parquet", 1_000).select("row_id", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id AS row_id, event_id, event_type FROM events")
+def row_identity(spark, d):
+    return readers.number_parquet_rows(_t(spark, d, "events")).select("row_id", "event_id", "event_type")
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS c_name, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def source_row_text(spark, d):
+    named = F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name")
+    return readers.source_text(_t(spark, d, "customer").select("c_custkey", named, "c_nationkey"))
+
+
+@query("SELECT n_nationkey::BIGINT AS row_id, n_name AS value FROM nation WHERE n_nationkey IN (0, 7, 24)")
+def cell_lookup(spark, d):
+    nations = _t(spark, d, "nation").withColumn("row_id", F.col("n_nationkey").cast("long"))
+    return spark.createDataFrame([(i, readers.cell_at(nations, i, "n_name")) for i in (0, 7, 24)], "row_id long, value string")
+
+
+_WIDE = "18446744073709550000"
+
+
+@query(f"SELECT unnest(['key', 'wide', 'balance', 'name', 'blank']) AS \"column\", unnest(['Integer', 'Integer', 'Float', 'String', 'Empty']) AS kind, unnest([CASE WHEN max(c_custkey)::HUGEINT > 9223372036854775807 THEN 'decimal(20,0)' ELSE 'bigint' END, CASE WHEN {_WIDE}::HUGEINT + max(c_custkey % 1000) > 9223372036854775807 THEN 'decimal(20,0)' ELSE 'bigint' END, 'double', 'string', 'string']) AS stored FROM customer")
+def store_types(spark, d):
+    wide = (F.expr(f"{_WIDE}BD") + F.col("c_custkey") % 1_000).cast("decimal(20,0)")
+    text = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), wide.cast("string").alias("wide"), F.col("c_acctbal").cast("string").alias("balance"), F.col("c_name").alias("name"), F.lit(" ").alias("blank"))
+    kinds = inference.infer_kinds(text)
+    stored = inference.store_types(text, kinds)
+    return spark.createDataFrame([(c, kinds[c], stored[c]) for c in text.columns], "column string, kind string, stored string")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def frame_source(spark, d):
+    nations = _t(spark, d, "nation").toPandas()  # 25 rows stand for a user's own frame
+    return readers.from_frame(spark, nations, ("n_nationkey", "n_name")).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+@query(f"SELECT o.o_orderkey, p.o_orderpriority, p.o_totalprice FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey AND p.o_orderkey % 9 <> 0 WHERE o.o_orderkey IN (SELECT o_orderkey FROM orders WHERE {_SEL})")
+def source_row_lookup(spark, d):
+    df = _t(spark, d, "orders")
+    snap = selection.snapshot_of(df, _selected(), "o_orderkey")
+    return selection.source_rows(snap, df.where("o_orderkey % 9 != 0").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey")
+
+
+@query("SELECT unnest([0, 1, 2, 3])::INT AS ordinal, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal']) AS before, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) AS after, unnest(['unchanged', 'unchanged', 'type_changed', 'renamed']) AS status")
+def schema_by_ordinal(spark, d):
+    before, after = _versions(spark, d)
+    return spark.createDataFrame(diff.diff_by_ordinal(before.schema, after.schema), "ordinal int, before string, after string, status string")
+
+
+# -- joins and shapes of intervals -----------------------------------------------------------------
+
+
+@query("SELECT event_id AS \"start\", event_id + 21 AS \"end\" FROM events WHERE event_id % 50 = 0 AND event_id + 20 <= (SELECT max(event_id) FROM events)")
+def label_windows(spark, d):
+    """Windows named by the first and the last timestamp of 21 samples, found again by an equi-join."""
+    at = lambda p: p * 60 + 7
+    samples = _t(spark, d, "events").select("event_id", at(F.col("event_id")).alias("t"))
+    last = samples.agg(F.max("event_id")).first()[0]
+    labels = samples.where((F.col("event_id") % 50 == 0) & (F.col("event_id") + 20 <= last)).select(F.col("t").alias("start_ts"), at(F.col("event_id") + 20).alias("end_ts"))
+    return intervals.label_ranges(labels, samples, "t", "event_id")
+
+
+@query("SELECT event_id, ts, value, value * 2 AS score FROM events")
+def aligned_samples(spark, d):
+    events = _t(spark, d, "events")
+    return intervals.aligned(events.select("event_id", "ts", "value"), events.select("event_id", "ts", (F.col("value") * 2).alias("score")), "event_id", "ts")
+
+
+@query(f"WITH {_WINDOWS} SELECT k, \"start\", \"end\", min(\"start\") OVER () AS origin, (\"start\" - min(\"start\") OVER ())::DOUBLE AS start_offset, \"end\" - \"start\" AS duration FROM t")
+def interval_shapes(spark, d):
+    return intervals.shape_rows(_windows(spark, d)[1])
+
+
+@query(_COMP + f', r AS (SELECT layer, label FROM (SELECT CAST(r - 1 AS INT) layer, p_brand label FROM k WHERE r <= 7 UNION ALL SELECT 7, \'Other\')) SELECT bx, "by", CAST(sum(n) OVER (PARTITION BY bx, "by") AS BIGINT) AS total, layer, label, n, round(n / sum(n) OVER (PARTITION BY bx, "by"), 9) AS share FROM g JOIN r USING (layer)')
+def composition_inspection(spark, d):
+    grid, _, plan = _composition(spark, d)
+    cells = category.inspect_cells(grid, plan).select("bx", "by", "total", F.explode("layers").alias("x"))
+    return cells.select("bx", "by", "total", "x.layer", "x.label", "x.n", F.round("x.share", 9).alias("share"))
+
+
+@query(f"WITH {_MIXED}, c AS (SELECT count(*) n FROM h3) SELECT event_id AS row_id, value AS py, n AS eligible, round(greatest(0, least(1, (0.12::DOUBLE - n / 250000.0::DOUBLE) / (0.12::DOUBLE - 0.02::DOUBLE))), 9) AS blend, n > 200 AS sampled FROM h3, c WHERE n / 250000.0::DOUBLE < 0.12 ORDER BY z, event_id LIMIT 200")
+def reveal_decision(spark, d):
+    df = _t(spark, d, "events")
+    points, made = reveal.reveal_selection(df, F.col("user_id").cast("double"), F.col("value"), (10.0, 400.0, 5.0, 200.0), "event_id", (500, 500), most=200)
+    return points.select("row_id", "py", F.lit(made["eligible"]).cast("long").alias("eligible"), F.lit(round(made["blend"], 9)).alias("blend"), F.lit(made["sampled"]).alias("sampled"))
+
+
+# -- arithmetic of axes and views, on the extents of tables ----------------------------------------
+
+_TICKS = "SELECT '{c}' AS axis, min({c})::DOUBLE lo, max({c})::DOUBLE hi FROM lineitem"
+
+
+@query("WITH e AS (" + " UNION ALL ".join(_TICKS.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")) + "), s AS (SELECT *, (hi - lo) / 4 AS least, pow(10, floor(log10((hi - lo) / 4))) AS d FROM e), t AS (SELECT *, d * CASE WHEN least <= d THEN 1 WHEN least <= 2 * d THEN 2 WHEN least <= 5 * d THEN 5 ELSE 10 END AS step FROM s), v AS (SELECT axis, lo, hi, (ceil(lo / step) + k.range) * step AS v FROM t, range(9) k) SELECT axis, round((v - lo) / (hi - lo), 4) AS fraction, rtrim(rtrim(printf('%.2f', v), '0'), '.') AS label FROM v WHERE v <= hi")
+def axis_ticks(spark, d):
+    names = ("l_quantity", "l_extendedprice", "l_discount")
+    ends = _t(spark, d, "lineitem").agg(*[f(c).cast("double") for c in names for f in (F.min, F.max)]).first()
+    rows = [(c, round(at, 4), label) for i, c in enumerate(names) for at, label in axes.numeric_ticks(ends[2 * i], ends[2 * i + 1])]
+    return spark.createDataFrame(rows, "axis string, fraction double, label string")
+
+
+@query(f"WITH e AS (SELECT min({_US}) lo, max({_US}) hi FROM events) SELECT round(range / 5.0::DOUBLE, 9) AS fraction, CAST(lo + ((hi - lo) * range + 2) // 5 AS VARCHAR) AS label FROM e, range(6)")
+def integer_axis_ticks(spark, d):
+    lo, hi = _t(spark, d, "events").agg(F.min(binning.micros(F.col("ts"))), F.max(binning.micros(F.col("ts")))).first()
+    return spark.createDataFrame([(round(at, 9), label) for at, label in axes.integer_ticks(lo, hi, 6)], "fraction double, label string")
+
+
+@query("SELECT n_nationkey::BIGINT AS row_id, printf('%.0f', n_nationkey * 12345.678) AS whole, CASE WHEN n_nationkey = 0 THEN '0' ELSE rtrim(rtrim(printf('%.2f', n_nationkey * 12345.678), '0'), '.') END AS decimal, CASE WHEN n_nationkey = 0 THEN '0' WHEN n_nationkey * 123456.78 >= 1000000 THEN printf('%.1fM', n_nationkey * 123456.78 / 1000000) ELSE printf('%.1fk', n_nationkey * 123456.78 / 1000) END AS compact FROM nation")
+def axis_labels(spark, d):
+    keys = sorted(r[0] for r in _t(spark, d, "nation").select("n_nationkey").collect())  # 25 rows
+    rows = [(k, axes.format_value(k * 12345.678, "integer"), axes.format_value(k * 12345.678), axes.format_value(k * 123456.78, "compact")) for k in keys]
+    return spark.createDataFrame(rows, "row_id long, whole string, decimal string, compact string")
+
+
+@query("WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS c FROM nation) SELECT i AS lane, n_name AS label FROM n, range(6) r WHERE i = r.range * (c - 1) // 5")
+def lane_label_sample(spark, d):
+    names = [r.n_name for r in _t(spark, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    return spark.createDataFrame(axes.sample_labels(names, 6), "lane long, label string")
+
+
+_PLOTS = ((1920, 1080), (1080, 1920), (2560, 600), (700, 530), (4096, 4096), (1024, 520))
+
+
+@query(f"WITH p AS (SELECT unnest([{', '.join(str(w) for w, _ in _PLOTS)}]) w, unnest([{', '.join(str(h) for _, h in _PLOTS)}]) h), t AS (SELECT unnest([256, 512, 1024]) short, unnest([262144, 1048576, 4194304]) most), c AS (SELECT w, h, short, 8 * least(CAST(ceil(ceil(short * (greatest(w, h)::DOUBLE / least(w, h)) - 1e-9) / 8) AS BIGINT), most // (short * 8)) AS long FROM p, t WHERE short * 2 <= least(w, h)), b AS (SELECT w, h, max(struct_pack(s := short, l := long)) x FROM c WHERE short * long <= 4194304 GROUP BY w, h) SELECT w::BIGINT AS w, h::BIGINT AS h, CASE WHEN w >= h THEN x.l ELSE x.s END::BIGINT AS width, CASE WHEN w >= h THEN x.s ELSE x.l END::BIGINT AS height FROM b")
+def resolution_choice(spark, d):
+    return spark.createDataFrame([(w, h, *axes.choose_resolution(w, h)) for w, h in _PLOTS], "w long, h long, width long, height long")
+
+
+@query("WITH e AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM lineitem) SELECT round(x0, 6) AS x_min, round(x1, 6) AS x_max, round(y0, 6) AS y_min, round(y1, 6) AS y_max FROM (SELECT x0 + (x1 - x0) * 0.5 - (x1 - x0) * 0.25 * 0.5 + (x1 - x0) * 0.25 * 0.1 AS x0, x0 + (x1 - x0) * 0.5 + (x1 - x0) * 0.25 * 0.5 + (x1 - x0) * 0.25 * 0.1 AS x1, y0 + (y1 - y0) * 0.5 - (y1 - y0) * 0.25 * 0.5 - (y1 - y0) * 0.25 * 0.2 AS y0, y0 + (y1 - y0) * 0.5 + (y1 - y0) * 0.25 * 0.5 - (y1 - y0) * 0.25 * 0.2 AS y1 FROM e)")
+def viewport_zoom_pan(spark, d):
+    ends = _t(spark, d, "lineitem").agg(F.min("l_quantity"), F.max("l_quantity"), F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    view = axes.Viewport.of(*ends).zoom(0.5, 0.5, 0.25).pan(0.1, -0.2).view
+    return spark.createDataFrame([tuple(round(v, 6) for v in view)], "x_min double, x_max double, y_min double, y_max double")

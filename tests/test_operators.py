@@ -6,6 +6,8 @@ from fieldglass.operators import catalog, category, comparison, contours, diff,
 from fieldglass.operators.filters import CategorySet, Cohort, FilterSet, NumericRange
 from fieldglass.plans.query import VisualQuery
 
+from .ridge_arrays import ridge_field
+
 
 def grid_of(spark, counts):
     rows = [(x, y, int(n)) for y, line in enumerate(counts) for x, n in enumerate(line)]
@@ -102,24 +104,35 @@ def _ridge_by_loops(counts, scale):
     return out
 
 
-def test_ridges(spark):
+def test_ridges(spark, monkeypatch):
+    monkeypatch.setattr(ridges, "TILE", 4)  # tiles smaller than the grids
     flat = np.full((9, 9), 3)
-    assert not ridges.ridge_field(flat)[0].any() and not ridges.ridge_field(np.zeros((4, 4)))[0].any()
+    assert not ridge_field(flat)[0].any() and not ridge_field(np.zeros((4, 4)))[0].any()
     band = np.zeros((9, 11))
     band[4, :] = 10
-    s, tx, ty = ridges.ridge_field(band)
+    s, tx, ty = ridge_field(band)
     assert (s[4] > 0.9).all() and not s[:4].any() and np.allclose(tx[4], 1) and np.allclose(ty[4], 0)
     diagonal = np.eye(15) * 8
-    s, tx, ty = ridges.ridge_field(diagonal)
+    s, tx, ty = ridge_field(diagonal)
     assert s[7, 7] > 0 and abs(tx[7, 7] - ty[7, 7]) < 1e-6
     rng = np.random.default_rng(3)
     noise = rng.integers(0, 20, (8, 10))
-    s, _, _ = ridges.ridge_field(noise, "medium", 0, 0)
+    s, _, _ = ridge_field(noise, "medium", 0, 0)
     low = _ridge_by_loops(noise, "medium")
     on = s > 0
     assert np.allclose(s[on], (-low[on]) / (-low[on]).max(), atol=1e-5)
     got = ridges.density_ridges(grid_of(spark, band), 11, 9).collect()
     assert {(r.bx, r["by"]) for r in got} == {(x, 4) for x in range(11)}
+    assert ridges.density_ridges(grid_of(spark, np.zeros((4, 4), int)), 4, 4).count() == 0
+    big = rng.integers(0, 9, (600, 530)) * (rng.random((600, 530)) < 0.3)
+    for scale, counts in (("medium", noise), ("fine", diagonal.astype(int)), ("coarse", noise.T), ("medium", big)):
+        if counts is big:
+            monkeypatch.setattr(ridges, "TILE", 512)
+        h, w = counts.shape
+        s, tx, ty = ridge_field(counts, scale)
+        got = {(r.bx, r["by"]): (r.strength, r.tangent_x, r.tangent_y) for r in ridges.density_ridges(grid_of(spark, counts), w, h, scale).collect()}
+        want = {(x, y): (s[y, x], tx[y, x], ty[y, x]) for y, x in zip(*np.nonzero(s), strict=True)}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
 def test_composition(spark):
