@@ -3,9 +3,12 @@
 1. Texts become token ids with an end id.  Whole windows are cut off a
    document's start and need no partner; what is left is its tail.
 2. Document frequencies of ids are counted over all tails.
-3. Tails are dealt into shards of about ``SHARD_DOCS`` by a hash of the
-   document, so every run gives the same rows.  Each shard builds a BM25
-   inverted index of its tails, asked with all terms of a seed.  The longest
+3. Tails are dealt into shards of at most about ``SHARD_DOCS`` by what they
+   hold: by a term drawn from their ids, rare ones likelier, so that the chance
+   that two tails draw the same term is their weighted overlap.  Shards that
+   many tails draw are cut by a MinHash of id pairs, and those of one pair by a
+   hash of the document.  Every run gives the same rows.  Each shard builds a
+   BM25 inverted index of its tails, asked with all terms of a seed.  The longest
    unused tail seeds a window, its unused neighbours fill it, best first and as
    far down the ranking as there is room, and the neighbour that no longer fits
    is cut; its rest stays in the shard.  Tails without a term in common with
@@ -22,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .core import materialize, share, shared
+from .core import materialize, mix64, share, shared
 from .tokens import Tokens
 
 WINDOW = 1024
@@ -44,23 +48,44 @@ def ids_crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def term_order() -> np.ndarray:
+    """For each id its place in the draw of a term: exponential, at a rate equal to the id, since later ids of a merge list are rarer."""
+    ids = np.arange(VOCABULARY, dtype=np.uint64)
+    uniform = (mix64(ids + np.uint64(1)) >> np.uint64(11)).astype(float) / 2.0**53
+    out = -np.log(np.maximum(uniform, 2.0**-53)) / np.maximum(1.0, ids.astype(float))
+    out[END_ID] = np.inf
+    return out
+
+
+def pair_hash(ids: np.ndarray) -> int:
+    """MinHash of the pairs of neighbouring ids, as a non-negative long; 0 without a pair."""
+    if len(ids) < 2:
+        return 0
+    pairs = (ids[:-1].astype(np.uint64) << np.uint64(16)) | ids[1:].astype(np.uint64)
+    return int(mix64(mix64(pairs).min()) >> np.uint64(1))
+
+
 def _tokenized(docs: DataFrame, folder: str | None) -> DataFrame:
-    """doc_id, doc_tokens, the sums of whole windows, and the tail as 16-bit ids."""
+    """doc_id, doc_tokens, the sums of whole windows, the tail as 16-bit ids, the term it draws and the MinHash of its pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(folder)
+        order = term_order()
         for batch in batches:
-            sizes, sums, tails = [], [], []
+            sizes, sums, tails, terms, grains = [], [], [], [], []
             for text in batch["text"].array:
                 ids = np.array([*tokens.ids(None if text is pd.NA else text), END_ID], dtype=np.uint16)
                 whole = len(ids) // WINDOW
                 sizes.append(len(ids))
                 sums.append([ids_crc(ids[i * WINDOW : (i + 1) * WINDOW]) for i in range(whole)])
-                tails.append(ids[whole * WINDOW :].tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "doc_tokens": sizes, "whole": sums, "tail": tails})
+                tail = ids[whole * WINDOW :]
+                tails.append(tail.tobytes())
+                terms.append(int(tail[order[tail].argmin()]) if len(tail) else END_ID)
+                grains.append(pair_hash(tail))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "doc_tokens": sizes, "whole": sums, "tail": tails, "term": terms, "grain": grains})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, doc_tokens long, whole array<long>, tail binary")
+    return rows.mapInPandas(run, "doc_id long, doc_tokens long, whole array<long>, tail binary, term int, grain long")
 
 
 def _document_frequencies(tokenized: DataFrame) -> np.ndarray:
@@ -190,6 +215,23 @@ def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -
     return windows
 
 
+def dealt(tokenized: DataFrame, n: int) -> DataFrame:
+    """The n tails with their ``shard``: by drawn term, then, where a shard has too many, by pairs, then by a hash of the document.
+
+    Only counts of shards, one for about ``SHARD_DOCS`` tails, are joined and numbered.
+    """
+    shards = -(-n // SHARD_DOCS)
+    if shards < 2:
+        return tokenized.withColumn("shard", F.lit(0).cast("long"))
+    parts = F.ceil(F.count(F.lit(1)) / SHARD_DOCS)
+    first = tokenized.withColumn("_first", F.pmod(F.xxhash64("term"), F.lit(shards)))
+    second = first.join(first.groupBy("_first").agg(parts.alias("_cuts")), "_first").withColumn("_second", F.pmod("grain", "_cuts"))
+    groups = second.groupBy("_first", "_second").agg(parts.alias("_parts"))
+    before = F.coalesce(F.sum("_parts").over(Window.orderBy("_first", "_second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = second.join(groups.withColumn("_before", before), ["_first", "_second"])
+    return at.select(*tokenized.columns, (F.col("_before") + F.pmod(F.xxhash64("doc_id", "whole", "tail"), F.col("_parts"))).alias("shard"))
+
+
 def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
@@ -204,7 +246,6 @@ def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
     n, ids = tokenized.agg(F.count(F.lit(1)), F.sum(F.length("tail") / 2)).first()
     idf = np.log(1.0 + (n - frequency + 0.5) / (frequency + 0.5))
     sent = share(docs.sparkSession, (idf, (ids or 0.0) / max(1, n)))
-    shards = max(1, -(-n // SHARD_DOCS))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens", "tail"])  # rows equal in all three differ in their whole windows at most
@@ -225,5 +266,5 @@ def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    dealt = tokenized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "whole", "tail"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, PIECES)
+    columns = ["doc_id", "doc_tokens", "whole", "tail", "shard"]
+    return dealt(tokenized, n).select(*columns).groupBy("shard").applyInPandas(run, PIECES)

@@ -541,3 +541,20 @@ def test_training_lowers_the_loss():
 def test_score_beats_word_counts_on_held_out_documents(spark):
     out = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("network_score")).first()
     assert out[0] > out[1] and out[2] > out[1]
+
+
+def test_copies_share_a_packing_shard(spark, docs, monkeypatch):
+    """Equal texts meet in one shard however many shards there are; no shard outgrows its bound by much, one of copies included."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    twice = texts.union(texts.select(F.col("doc_id") + 1_000_000, "text"))
+    hot = spark.range(2_000_000, 2_000_400).select(F.col("id").alias("doc_id"), F.lit("the same few words again and again").alias("text"))
+    rows = twice.union(hot)
+    n = rows.count()
+    found = packing.dealt(packing._tokenized(rows, None), n).select("doc_id", "shard").collect()
+    shard = {r.doc_id: r.shard for r in found}
+    sizes = np.bincount([r.shard for r in found])
+    pairs = [d for d in shard if d < 1_000_000]
+    assert len(found) == n and sizes.max() <= 3 * 16
+    assert sum(shard[d] == shard[d + 1_000_000] for d in pairs) >= 0.8 * len(pairs)
+    assert len({shard[d] for d in shard if d >= 2_000_000}) >= 400 // 16
