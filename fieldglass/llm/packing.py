@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .core import materialize, mix64, share, shared
+from .core import hot_keys, materialize, mix64, salted_join, share, shared
 from .tokens import Tokens
 
 WINDOW = 1024
 END_ID = 0
 SHARD_DOCS = 2_048
 VOCABULARY = 50_257
+#: Counts of up to so many shards, at most twice as many rows of three numbers, are sent to every task; more are joined.
+BROADCAST_SHARDS = 200_000
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 #: Terms with more postings than this in a shard are scored for all seeds at once, so many terms in a product of matrices.
@@ -218,18 +220,27 @@ def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -
 def dealt(tokenized: DataFrame, n: int) -> DataFrame:
     """The n tails with their ``shard``: by drawn term, then, where a shard has too many, by pairs, then by a hash of the document.
 
-    Only counts of shards, one for about ``SHARD_DOCS`` tails, are joined and numbered.
+    Only counts of shards, one or two for ``SHARD_DOCS`` tails, are joined and
+    numbered.  While they are few they go to the tails; beyond that the tails
+    of hot shards are dealt over tasks in the join.
     """
     shards = -(-n // SHARD_DOCS)
     if shards < 2:
         return tokenized.withColumn("shard", F.lit(0).cast("long"))
     parts = F.ceil(F.count(F.lit(1)) / SHARD_DOCS)
-    first = tokenized.withColumn("_first", F.pmod(F.xxhash64("term"), F.lit(shards)))
-    second = first.join(first.groupBy("_first").agg(parts.alias("_cuts")), "_first").withColumn("_second", F.pmod("grain", "_cuts"))
-    groups = second.groupBy("_first", "_second").agg(parts.alias("_parts"))
-    before = F.coalesce(F.sum("_parts").over(Window.orderBy("_first", "_second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = second.join(groups.withColumn("_before", before), ["_first", "_second"])
-    return at.select(*tokenized.columns, (F.col("_before") + F.pmod(F.xxhash64("doc_id", "whole", "tail"), F.col("_parts"))).alias("shard"))
+
+    def counted(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+        if shards <= BROADCAST_SHARDS:
+            return rows.join(F.broadcast(counts), key)
+        return salted_join(rows, counts, key, "_spread", hot_keys(rows, key, n))
+
+    first = tokenized.withColumns({"_first": F.pmod(F.xxhash64("term"), F.lit(shards)), "_spread": F.xxhash64("doc_id", "whole", "tail")})
+    cut = counted(first, first.groupBy("_first").agg(parts.alias("_cuts")), "_first")
+    second = cut.withColumn("_group", F.struct("_first", F.pmod("grain", "_cuts").alias("second")))
+    before = F.coalesce(F.sum("_parts").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = second.groupBy("_group").agg(parts.alias("_parts")).withColumn("_before", before)
+    at = counted(second, groups, "_group")
+    return at.select(*tokenized.columns, (F.col("_before") + F.pmod("_spread", "_parts")).alias("shard"))
 
 
 def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:

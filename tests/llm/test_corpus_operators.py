@@ -551,8 +551,11 @@ def test_copies_share_a_packing_shard(spark, docs, monkeypatch):
     hot = spark.range(2_000_000, 2_000_400).select(F.col("id").alias("doc_id"), F.lit("the same few words again and again").alias("text"))
     rows = twice.union(hot)
     n = rows.count()
-    found = packing.dealt(packing._tokenized(rows, None), n).select("doc_id", "shard").collect()
+    tokenized = packing._tokenized(rows, None).cache()
+    found = packing.dealt(tokenized, n).select("doc_id", "shard").collect()
     shard = {r.doc_id: r.shard for r in found}
+    monkeypatch.setattr(packing, "BROADCAST_SHARDS", 0)
+    assert {r.doc_id: r.shard for r in packing.dealt(tokenized, n).select("doc_id", "shard").collect()} == shard
     sizes = np.bincount([r.shard for r in found])
     pairs = [d for d in shard if d < 1_000_000]
     assert len(found) == n and sizes.max() <= 3 * 16
