@@ -63,13 +63,13 @@ def _first_files(spark: SparkSession, path: str, limit: int) -> DataFrame:
 def number_parquet_rows(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Dense ids in order of file path and row: the row's index in its file plus the rows of the files before.
 
-    One row for each file is counted, ranked and joined back; nothing else is
-    shuffled.
+    One row for each file is counted, ranked and sent to the tasks; nothing
+    else is shuffled, so the rows of a large file stay in as many tasks.
     """
     at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = at.join(files.select("_file", before.alias("_before")), "_file")
+    joined = at.join(F.broadcast(files.select("_file", before.alias("_before"))), "_file")
     return joined.select((F.col("_before") + F.col("_index")).cast("long").alias(name), *[F.col(c) for c in df.columns])
 
 

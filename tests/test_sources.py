@@ -136,6 +136,20 @@ def test_a_limit_reads_only_the_first_files(spark, tmp_path):
         assert len(some.inputFiles()) == min(10, -(-limit // 100))
 
 
+def test_numbering_rows_shuffles_counts_of_files_only(spark, tmp_path):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(0, 1_000, numPartitions=3).withColumnRenamed("id", "v").write.parquet(path)
+    at_most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (readers.read_table(spark, path), readers.read_table(spark, path, 400), readers.number_parquet_rows(spark.read.parquet(path), "n")):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(r[0] for r in rows.collect()) == list(range(rows.count()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at_most)
+
+
 def test_synthetic_tables_plan_at_once_under_filters_bins_and_joins(spark):
     points, events = synthetic.synthetic_points(spark, 2_000), synthetic.synthetic_events(spark, 2_000)
     grid = fields.binned(points, F.col("x").cast("double"), F.col("y").cast("double"), (0.0, 100.0, 0.0, 100.0), 64, 64)
