@@ -664,7 +664,8 @@ def state_timeline(spark, d):
 @query("SELECT count(*) AS rows, min(l_quantity) AS x_min, max(l_quantity) AS x_max, min(l_extendedprice) AS y_min, max(l_extendedprice) AS y_max, 0::BIGINT AS first_id, count(*) - 1 AS last_id, count(*) AS ids FROM lineitem")
 def scatter_scan(spark, d):
     loaded = readers.bind_scatter(readers.read_table(spark, f"{d}/lineitem.parquet"), "l_quantity", "l_extendedprice")
-    return loaded.rows.agg(F.count(F.lit(1)).alias("rows"), F.min("px").alias("x_min"), F.max("px").alias("x_max"), F.min("py").alias("y_min"), F.max("py").alias("y_max"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count_distinct("row_id").alias("ids"))
+    ends = {"x_min": (F.min("px"), F.min), "x_max": (F.max("px"), F.max), "y_min": (F.min("py"), F.min), "y_max": (F.max("py"), F.max), "first_id": (F.min("row_id"), F.min), "last_id": (F.max("row_id"), F.max)}
+    return readers.aggregate_with_ids(loaded.rows, "row_id", rows=(F.count(F.lit(1)), F.sum), **ends)
 
 
 @query(f"WITH {_LANES} SELECT lane, count(*) AS n, min(user_id) AS first_time, max(user_id) AS last_time FROM events JOIN l USING (event_type) GROUP BY lane")
@@ -717,7 +718,7 @@ def csv_schema(spark, d):
 @query("SELECT count(*) AS rows, min(p_partkey)::DOUBLE AS x_min, max(p_partkey)::DOUBLE AS x_max, min(p_retailprice) AS y_min, max(p_retailprice) AS y_max, count(*) AS ids, count(*) - 1 AS last_id, round(sum(p_retailprice), 4) AS y_sum FROM part")
 def csv_scatter_binding(spark, d):
     loaded = readers.load_scatter(spark, _as_csv(spark, _t(spark, d, "part"), "part"), "p_partkey", "p_retailprice")
-    found = loaded.rows.agg(F.count_distinct("row_id").alias("ids"), F.max("row_id").alias("last_id"), F.round(F.sum("py"), 4).alias("y_sum"))
+    found = readers.aggregate_with_ids(loaded.rows, "row_id", last_id=(F.max("row_id"), F.max), y_sum=(F.sum("py"), lambda c: F.round(F.sum(c), 4)))
     ends = [F.lit(float(v)).alias(n) for n, v in zip(("x_min", "x_max", "y_min", "y_max"), (*loaded.x_range, *loaded.y_range), strict=True)]
     return found.select(F.lit(loaded.count).cast("long").alias("rows"), *ends, "ids", "last_id", "y_sum")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,19 @@ def number_parquet_rows(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     return joined.select((F.col("_before") + F.col("_index")).cast("long").alias(name), *[F.col(c) for c in df.columns])
 
 
+def aggregate_with_ids(df: DataFrame, name: str, **measures: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """One row: ``measures``, and as ``ids`` the number of distinct ids in column ``name``, exactly.
+
+    A measure is an aggregate over the rows and the function that joins parts
+    of it.  An id is a bit of a 64-bit word; dense ids fill the words, so a task
+    sends one row for 64 of them.  Null is no id; negative ids count too.
+    """
+    id_ = F.col(name).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), id_.bitwiseAND(F.lit(63)).cast("int"))
+    words = df.groupBy(F.shiftright(id_, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"), *[a.alias(f"_{k}") for k, (a, _) in measures.items()])
+    return words.agg(*[join(f"_{k}").alias(k) for k, (_, join) in measures.items()], F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).cast("long").alias("ids"))
+
+
 def number_rows(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Dense ids in partition order, for sources without row positions.
 

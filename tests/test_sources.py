@@ -150,6 +150,21 @@ def test_numbering_rows_shuffles_counts_of_files_only(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at_most)
 
 
+def test_ids_are_counted_exactly_by_words(spark):
+    ids = [*range(-130, 400), 7, 7, None, 63, 64, (1 << 62) + 5, -(1 << 62), 5_000_000_000]
+    rows = spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)], "row_id long, v double")
+    got = readers.aggregate_with_ids(rows, "row_id", n=(F.count(F.lit(1)), F.sum), most=(F.max("v"), F.max)).first()
+    assert (got.n, got.most, got.ids) == (len(ids), len(ids) - 1.0, len(set(ids) - {None}))
+    assert readers.aggregate_with_ids(rows.limit(0), "row_id").first().ids == 0
+
+
+def test_bound_scatter_rows_never_meet_by_id(spark):
+    from fieldglass.queries import QUERIES
+
+    plan = QUERIES["scatter_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "hashpartitioning(row_id" not in plan
+
+
 def test_synthetic_tables_plan_at_once_under_filters_bins_and_joins(spark):
     points, events = synthetic.synthetic_points(spark, 2_000), synthetic.synthetic_events(spark, 2_000)
     grid = fields.binned(points, F.col("x").cast("double"), F.col("y").cast("double"), (0.0, 100.0, 0.0, 100.0), 64, 64)
