@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import decontaminate, neardup, packing, secrets, toxicity
-from fieldglass.llm.core import materialize
+from fieldglass.llm.core import materialize, with_possible
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
 
     Of rows that share the kept doc_id and have words, the first in order of
-    their columns stays.
+    their columns stays.  Only rows that may be of an id that is dropped or
+    repeated are shuffled; all others stay where they are read.
     """
-    found = materialize(neardup.near_duplicates(docs), "groups")
-    rest = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
-    again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    first = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")).select("doc_id", "row.*")
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    found = neardup.near_duplicates(docs)
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(~F.col("kept")).alias("_gone"), F.count_if(F.col("kept") & (F.col("n_shingles") > 0)).alias("_n"))
+    ids = materialize(ids.where("_gone or _n > 1"), "groups")
+    marked = with_possible(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", ids.select("_id"), ids.count(), "_possible")
+    asked = materialize(marked.where("_possible").join(ids, "_id", "left").where("_gone is null or not _gone"), "asked")
+    first = asked.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")).select("doc_id", "row.*")
+    alone = marked.where("not _possible").select(*docs.columns).unionByName(asked.where("_n is null").select(*docs.columns))
+    return alone.unionByName(first.select(*docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

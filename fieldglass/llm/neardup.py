@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import WordHasher, discard, hot_keys, materialize, mix64, salted_join, window_hashes
+from .core import WordHasher, discard, hot_keys, materialize, mix64, possible, salted_join, window_hashes
 from .graph import components
 
 BANDS, ROWS = 36, 5
@@ -147,8 +147,13 @@ def set_digest(items: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the classes in ``wanted`` (node), read again from the texts of their first documents."""
+def _nodes(pairs: DataFrame) -> DataFrame:
+    """(node) of the pairs (u, v), once for each pair that a node is in."""
+    return pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> DataFrame:
+    """(node, items) of the classes in ``wanted`` (node; n rows at most), read again from the texts of their first documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
@@ -157,17 +162,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"node": batch["doc_id"].astype("int64"), "items": items})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "node long, items array<long>")
+    found = possible(texts, "doc_id", wanted, n).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return found.mapInPandas(run, "node long, items array<long>")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have at least ``percent`` per cent of their union in common."""
-    nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v"))).distinct()
-    sets = materialize(_sets(docs, nodes, size), "sets")
-    # the side with more pairs is joined last: its set meets them without being copied into them
-    degree = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v"))
     n = pairs.count()
-    hubs = materialize(hot_keys(degree, "node", n), "hubs")
+    nodes = materialize(_nodes(pairs).distinct(), "wanted")
+    sets = materialize(_sets(docs, nodes, 2 * n, size), "sets")
+    discard(nodes)
+    # the side with more pairs is joined last: its set meets them without being copied into them
+    hubs = materialize(hot_keys(_nodes(pairs), "node", n), "hubs")
     wide = F.broadcast(hubs.select(F.col("node").alias("u"), F.lit(True).alias("hub")))
     turned = pairs.join(wide, "u", "left").select(F.when(F.col("hub"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("hub"), F.col("u")).otherwise(F.col("v")).alias("y"))
     left = salted_join(turned, sets.select(F.col("node").alias("x"), F.col("items").alias("a")), "x", "y", hubs.withColumnRenamed("node", "x"))
@@ -183,6 +189,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose odd sketches allow the threshold."""
     n = pairs.count()
+    classes = possible(classes, "node", _nodes(pairs), 2 * n)
     with_u = salted_join(pairs, _side(classes, "u", "a"), "u", "v", hot_keys(pairs, "u", n))
     return salted_join(with_u, _side(classes, "v", "b"), "v", "u", hot_keys(pairs, "v", n)).where(similar_enough("a", "b", percent)).select("u", "v")
 
@@ -196,9 +203,11 @@ def _leftover(members: DataFrame, labels: DataFrame, classes: DataFrame, percent
     # a side's row lies in one slice of its bucket and is copied to the blocks of all slices of the other side
     slices = F.ceil(F.col("size") / WIDE).cast("int")
     open_ = materialize(open_.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")), "open")
+    n = open_.count()
+    sketches = possible(classes, "node", open_.select("node"), n)
     every_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    outside = open_.where("outside").withColumn("other", every_slice).select(F.xxhash64("bucket", "own", "other").alias("block"), "bucket", F.col("node").alias("x"), F.col("label").alias("x_label")).join(_side(classes, "x", "a"), "x")
-    every = open_.withColumn("other", every_slice).select(F.xxhash64("bucket", "other", "own").alias("block"), F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("outside").alias("y_outside")).join(_side(classes, "y", "b"), "y")
+    outside = open_.where("outside").withColumn("other", every_slice).select(F.xxhash64("bucket", "own", "other").alias("block"), "bucket", F.col("node").alias("x"), F.col("label").alias("x_label")).join(_side(sketches, "x", "a"), "x")
+    every = open_.withColumn("other", every_slice).select(F.xxhash64("bucket", "other", "own").alias("block"), F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("outside").alias("y_outside")).join(_side(sketches, "y", "b"), "y")
     # two outside members meet once
     once = (F.col("x_label") != F.col("y_label")) & (~F.col("y_outside") | (F.col("x") < F.col("y")))
     pairs = outside.withColumnRenamed("block", "x_block").join(every, (F.col("x_block") == F.col("block")) & (F.col("bucket") == F.col("y_bucket")) & once & similar_enough("a", "b", percent))
@@ -221,11 +230,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("digest", "check").agg(F.min("doc_id").alias("node"))
     named = materialize(firsts, "classes")
-    classes = full.join(named.withColumnRenamed("node", "doc_id"), ["digest", "check", "doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "level", "bands", *_SKETCH).dropDuplicates(["node", *_SKETCH])
-    classes = materialize(classes, "nodes")
+    # repeated rows go where the join has put them, so that bands and sketches are shuffled once
+    own = full.join(named.withColumnRenamed("node", "doc_id"), ["digest", "check", "doc_id"]).dropDuplicates(["digest", "check", "doc_id"])
+    classes = materialize(own.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "level", "bands", *_SKETCH), "nodes")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(entries.join(sizes, "bucket"), "buckets")
+    sizes = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    members = materialize(possible(entries, "bucket", sizes.select("bucket"), sizes.count()).join(sizes, "bucket"), "buckets")
 
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     heads = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("head"))
@@ -243,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     repeated = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select(F.col("doc_id").alias("u"))
     shared = shared.join(repeated, "u", "left_semi").select("u", "v")
     final = materialize(components(links.unionByName(more).unionByName(shared)), "labels")
-    for df in (first, second, members, classes, labels, star, links, more):
+    for df in (first, second, members, sizes, classes, labels, star, links, more):
         discard(df)
 
     owner = named.join(final, "node", "left").select("digest", "check", F.coalesce("component", "node").alias("component_id"))

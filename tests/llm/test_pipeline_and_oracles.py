@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fieldglass.llm import neardup
+from fieldglass.llm.core import possible, with_possible
 from fieldglass.llm.oracles import ORACLES
 from fieldglass.llm.queries import QUERIES
 
@@ -70,3 +72,28 @@ def test_pipeline_keeps_nulls_and_one_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, df, SF)
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 5]
+
+
+def test_near_duplicates_leave_without_a_shuffle_of_all_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at_most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kept = {r.doc_id for r in neardup.near_duplicates(docs).where("kept").collect()}
+        assert {r.doc_id for r in out.collect()} == kept and len(kept) < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at_most)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_rows_ruled_out_by_a_bitmap_of_keys_have_no_such_key(spark):
+    rows = spark.range(-5_000, 45_000).unionByName(spark.createDataFrame([(None,), (1 << 62,), (7,)], "id long"))
+    for n, step in ((0, 1), (1, 1), (3_000, 7)):
+        wanted = spark.range(n).select((F.col("id") * step - 100).alias("k"))
+        found = possible(rows, "id", wanted, n)
+        exact = rows.join(wanted, rows.id == wanted.k, "left_semi")
+        assert found.join(wanted, F.col("id") == F.col("k"), "left_semi").count() == exact.count() >= n
+        assert found.count() <= exact.count() + rows.count() / 8
+    assert with_possible(rows, "id", wanted, n, "p").count() == rows.count()
