@@ -95,14 +95,15 @@ def sampling_level(n: int) -> int:
 
 
 def similar_enough(a: str, b: str, percent: int) -> Column:
-    """Whether the bitmaps of structs ``a`` and ``b`` (n, level, sketch words) allow the threshold.
+    """Whether the bitmaps of sides ``a`` and ``b`` (:func:`_side`) allow the threshold.
 
     Sets of sizes n and m reach it when they differ in at most
     (n + m) * (100 - percent) / (100 + percent) items; a sample of the coarser
     level sees that many by its rate.
     """
     x, y = F.col(f"{a}_level"), F.col(f"{b}_level")
-    words = [F.when(x >= y, F.col(f"{a}_s{i}")).otherwise(F.col(f"{a}_t{i}")).bitwiseXOR(F.when(y >= x, F.col(f"{b}_s{i}")).otherwise(F.col(f"{b}_t{i}"))) for i in range(_WORDS)]
+    own, other = F.when(x >= y, F.col(f"{a}_s")).otherwise(F.col(f"{a}_t")), F.when(y >= x, F.col(f"{b}_s")).otherwise(F.col(f"{b}_t"))
+    words = [F.get(own, i).bitwiseXOR(F.get(other, i)) for i in range(_WORDS)]
     bits = reduce(lambda p, q: p + q, [F.bit_count(w) for w in words])
     level = F.greatest(x, y)
     total = F.col(f"{a}_n") + F.col(f"{b}_n")
@@ -112,8 +113,9 @@ def similar_enough(a: str, b: str, percent: int) -> Column:
 
 
 def _side(classes: DataFrame, key: str, side: str) -> DataFrame:
-    """Classes as (key, side_n, side_level, side_s0, ...)."""
-    return classes.select(F.col("node").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "level", *_SKETCH)])
+    """Classes as (key, side_n, side_level, side_s, side_t); the bitmaps are two arrays, so that plans of joins hold few columns."""
+    bitmaps = [F.array(*[c for c in _SKETCH if c[0] == x]).alias(f"{side}_{x}") for x in "st"]
+    return classes.select(F.col("node").alias(key), F.col("n").alias(f"{side}_n"), F.col("level").alias(f"{side}_level"), *bitmaps)
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
@@ -173,16 +175,21 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     sets = materialize(_sets(docs, nodes, 2 * n, size), "sets")
     discard(nodes)
     # the side with more pairs is joined last: its set meets them without being copied into them
-    hubs = materialize(hot_keys(_nodes(pairs), "node", n), "hubs")
-    wide = F.broadcast(hubs.select(F.col("node").alias("u"), F.lit(True).alias("hub")))
-    turned = pairs.join(wide, "u", "left").select(F.when(F.col("hub"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("hub"), F.col("u")).otherwise(F.col("v")).alias("y"))
-    left = salted_join(turned, sets.select(F.col("node").alias("x"), F.col("items").alias("a")), "x", "y", hubs.withColumnRenamed("node", "x"))
-    both = salted_join(left, sets.select(F.col("node").alias("y"), F.col("items").alias("b")), "y", "x", hubs.withColumnRenamed("node", "y"))
+    hubs = hot_keys(_nodes(pairs), "node", n)
+    if hubs is None:
+        turned = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"))
+    else:
+        wide = F.broadcast(hubs.select(F.col("node").alias("u"), F.lit(True).alias("hub")))
+        turned = pairs.join(wide, "u", "left").select(F.when(F.col("hub"), F.col("v")).otherwise(F.col("u")).alias("x"), F.when(F.col("hub"), F.col("u")).otherwise(F.col("v")).alias("y"))
+    named = lambda c: None if hubs is None else hubs.withColumnRenamed("node", c)
+    left = salted_join(turned, sets.select(F.col("node").alias("x"), F.col("items").alias("a")), "x", "y", named("x"))
+    both = salted_join(left, sets.select(F.col("node").alias("y"), F.col("items").alias("b")), "y", "x", named("y"))
     common = F.size(F.array_intersect("a", "b"))
     kept = both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     edges = materialize(kept, "links")
     discard(sets)
-    discard(hubs)
+    if hubs is not None:
+        discard(hubs)
     return edges
 
 

@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.llm import attention, decontaminate, media, neardup, packing, scoring, toxicity
-from fieldglass.llm.core import WordHasher, window_hashes
+from fieldglass.llm import attention, decontaminate, graph, media, neardup, packing, scoring, toxicity
+from fieldglass.llm.core import WordHasher, hot_keys, materialize, salted_join, window_hashes
 from fieldglass.llm.graph import components
 from fieldglass.llm.queries import QUERIES
 
@@ -122,6 +122,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_hubs_and_chains_need_few_small_plans(spark, monkeypatch):
+    """Plans hold copies of hot keys only where there are such keys, and chains within a batch take no rounds."""
+    plans = []
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n")) or materialize(df, tag))
+    chain = [(i, i + 1) for i in range(500)]
+    assert {r.component for r in components(spark.createDataFrame(chain, "u long, v long").repartition(1)).collect()} == {0}
+    assert len(plans) <= 5 and max(plans) < 30
+    hub = [(0, i) if i % 2 else (i, 5_000) for i in range(1, 5_000)] + [(0, 5_000), (6_000, 6_001)]
+    out = dict(components(spark.createDataFrame(hub, "u long, v long").repartition(8)).collect())
+    assert all(out[i] == 0 for i in range(5_001)) and out[6_000] == out[6_001] == 6_000
+
+
+def test_hot_keys_are_dealt_and_lose_no_row(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    table = spark.range(3_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+    hot = hot_keys(rows, "k", 3_000)
+    assert [r.k for r in hot.collect()] == [7]
+    assert sorted(salted_join(rows, table, "k", "x", hot).collect()) == sorted(rows.join(table, "k").collect())
+    assert hot_keys(table, "k", 3_000) is None and hot_keys(rows, "k", 200) is None
+
+
 # -- decontamination -----------------------------------------------------------------------
 
 
