@@ -5,8 +5,6 @@ from __future__ import annotations
 import base64
 import os
 
-import numpy as np
-
 #: Vocabulary that the queries use: the two files hold the same ids.
 NAME = "byte_bpe_50k"
 END_OF_TEXT = "<|endoftext|>"
@@ -39,11 +37,3 @@ class Tokens:
                 self.slow = Tokenizer.from_file(self.at(f"{NAME}.json"))
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
-
-    def starts_word(self, size: int) -> np.ndarray:
-        """For each id under ``size``: whether its bytes begin with a space."""
-        out = np.zeros(size, dtype=bool)
-        for token, i in self.fast._mergeable_ranks.items():
-            if i < size and token[:1] == b" ":
-                out[i] = True
-        return out

@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, toxicity, audio, packing and scoring: brute force, round trips, held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -559,6 +560,48 @@ def test_training_lowers_the_loss():
     assert mean(trainer.params) > mean(p) + 1.0
 
 
+def test_one_place_a_word_and_probabilities_that_sum_to_one(spark, monkeypatch):
+    """After any words, the training words, one unknown word for each slot of rare ones and empty slots have probability 1 together."""
+    monkeypatch.setattr(scoring, "OWN", 6)
+    monkeypatch.setattr(scoring, "GROUPS", scoring.VOCABULARY - 1 - 6 - scoring.RARE)
+    monkeypatch.setattr(scoring, "TABLE_WORDS", 12)
+    monkeypatch.setattr(scoring, "MOST_PASSES", 1)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdef") * rng.choice((1, 1, 2, 3)) + rng.choice("xyz\u00e9") for _ in range(60)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _, _ = scoring.fit_text_model(df, F.lit(True))
+    table, known = scoring.WordTable(), sorted({w.decode() for t in texts for w in words(t)})
+    read = [table.read(w) for w in known]
+    slots = [int(s[0]) for s in model.units.slots_of(read)[0]]
+    assert len({s for s in slots if s < 6}) == 6 and any(6 <= s < 6 + scoring.GROUPS for s in slots) and any(s >= 6 + scoring.GROUPS for s in slots)
+    unknown = {}
+    for pair in itertools.product(map(chr, range(33, 127)), repeat=2):
+        word = "%" + "".join(pair).lower()
+        unknown.setdefault(int(model.units.slots_of([table.read(word)])[0][0][0]), word)
+    assert len(unknown) == scoring.RARE and not set(unknown.values()) & set(known)
+    for before in ("", "ax bbx", texts[3]):
+        n = len(words(before))
+        after = [table.read(f"{before} {w}") for w in [*known, *unknown.values()]]
+        assert all(len(s) == n + 2 for s in model.units.slots_of(after)[0])
+        lp = [x[n] for x in scoring.word_log_probs(model.params, model.units, table, after)]
+        end = scoring.word_log_probs(model.params, model.units, table, [table.read(before)])[0][n]
+        empty = [e for e in range(6 + scoring.GROUPS) if e not in slots]
+        begun = model.units.slots_of([table.read(before)])[0][0][:n]
+        blocks = attention.Blocks.cut([np.append(begun, e) for e in empty], model.units, scoring.END_ID)
+        left = attention.score(model.params, model.units, blocks)[0][blocks.place][n :: n + 1]
+        assert np.exp(lp).sum() + np.exp(end) + np.exp(left).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_hash_map_finds_what_it_holds():
+    rng = np.random.default_rng(5)
+    near = np.arange(40, dtype=np.uint64) + np.uint64(1 << 63)  # all want one place
+    held = np.unique(np.concatenate((near, rng.integers(0, 2**64, 5_000, dtype=np.uint64), np.uint64([0, 2**64 - 1]))))
+    others = np.setdiff1d(np.concatenate((near + np.uint64(40), rng.integers(0, 2**64, 5_000, dtype=np.uint64))), held)
+    found = scoring.HashMap(held)
+    assert (found.find(held) == np.arange(len(held))).all() and (found.find(others) == len(held)).all()
+    assert scoring.HashMap(held[:0]).find(held[:3]).tolist() == [0, 0, 0]
+
+
 def test_score_beats_word_counts_on_held_out_documents(spark):
     out = QUERIES["op1_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("network_score")).first()
     assert out[0] > out[1] and out[2] > out[1]
